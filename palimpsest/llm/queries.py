@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language
+from . import language, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language.op2,
+    "op3_toxicity": toxicity.op3,
 }
 
 ORACLE_SQL: dict[str, str] = {}
