@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality_rules, toxicity
+from . import language, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language.op2,
     "op3_toxicity": toxicity.op3,
     "op5_quality_rules": quality_rules.op5,
+    "op7_secrets": secrets.op7,
 }
 
 ORACLE_SQL: dict[str, str] = {}
