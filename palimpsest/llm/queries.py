@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality_rules, secrets, toxicity
+from . import language, mixing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1,
     "op2_language_id": language.op2,
     "op3_toxicity": toxicity.op3,
     "op5_quality_rules": quality_rules.op5,
     "op7_secrets": secrets.op7,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+}
