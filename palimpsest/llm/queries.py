@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality_rules, secrets, toxicity
+from . import decontamination, language, mixing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3,
     "op5_quality_rules": quality_rules.op5,
     "op7_secrets": secrets.op7,
+    "op10_decontamination": decontamination.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
