@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, near_duplicates, quality_rules, secrets, toxicity
+from . import decontamination, language, mixing, near_duplicates, packing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3,
     "op5_quality_rules": quality_rules.op5,
     "op7_secrets": secrets.op7,
+    "op8_packing": packing.op8,
     "op9_near_duplicates": near_duplicates.op9,
     "op10_decontamination": decontamination.op10,
 }
