@@ -1,11 +1,8 @@
-"""The library's named queries over the provided tables."""
+"""The library's named queries over the provided tables, with their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import agents, fleets, history, states
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = states.QUERIES | history.QUERIES | fleets.QUERIES | agents.QUERIES
+ORACLE_SQL = states.ORACLE_SQL | history.ORACLE_SQL | fleets.ORACLE_SQL | agents.ORACLE_SQL
