@@ -3,7 +3,9 @@
 Documents of equal shingle sets become one node first, so copies never form pairs. Each
 node has MinHash samples, banded into buckets, and an odd sketch: a bitmap in which every
 sample flips one bit, so that two sketches differ in few bits only if most samples agree.
-Within a bucket the most typical member is compared with every other; afterwards members
+A second odd sketch, of the whole shingle set,
+has at most as many differing bits as the sets have different shingles, so it rules pairs
+out for certain. Within a bucket the most typical member is compared with every other; afterwards members
 that are still in different components are compared too, so no link between two texts of a
 bucket is missed. Sketches decide which pairs are worth it, full shingle sets decide the
 links.
@@ -27,6 +29,8 @@ from .common import materialize
 ROWS, BANDS = 6, 32
 #: Bits of an odd sketch, as 64-bit words.
 SKETCH_WORDS = 8
+#: 64-bit words of the odd sketch of a whole set.
+WHOLE_WORDS = 16
 #: A pair is verified if its sketches' estimate falls short of the limit by at most this: five standard deviations of the sampling and the sketch.
 SLACK = 0.2
 #: Up to so many ids (8 bytes each) are sent to every executor to pick out their texts; beyond that the join shuffles.
@@ -95,6 +99,12 @@ class Sampler:
             out = mix(out * _MULTIPLIER + row)
         return out.view(np.int64)
 
+    @staticmethod
+    def whole(shingles: np.ndarray) -> np.ndarray:
+        """The odd sketch of a set: the parity of its shingles in each of ``64 * WHOLE_WORDS`` places."""
+        place = (shingles & np.uint64(64 * WHOLE_WORDS - 1)).astype(np.int64)
+        return np.packbits((np.bincount(place, minlength=64 * WHOLE_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
     def sketch(self, samples: np.ndarray) -> np.ndarray:
         bit = mix(samples.astype(np.uint64) ^ self.salt) % np.uint64(64 * self.words)
         odd = (np.bincount(bit.astype(np.int64), minlength=64 * self.words) & 1).astype(np.uint8)
@@ -105,7 +115,7 @@ def _sketched(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            size, key, buckets, sketch = [], [], [], []
+            size, key, buckets, sketch, whole = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, n)
                 size.append(len(s))
@@ -114,12 +124,14 @@ def _sketched(n: int):
                     key.append(set_key(s))
                     buckets.append(sampler.buckets(samples))
                     sketch.append(sampler.sketch(samples))
+                    whole.append(sampler.whole(s))
                 else:
                     key.append(None)
                     buckets.append(None)
                     sketch.append(None)
+                    whole.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(buckets, longs), pa.array(sketch, longs)], ["doc_id", "n_shingles", "key", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(buckets, longs), pa.array(sketch, longs), pa.array(whole, longs)], ["doc_id", "n_shingles", "key", "buckets", "sketch", "whole"])
 
     return run
 
@@ -144,8 +156,20 @@ def most_bits(least: float) -> int:
     return math.floor(n / 2 * (1 - math.exp(-4 * k / n * (1 - max(least - SLACK, 0)))))
 
 
-def _bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.get(F.col(a), 0).bitwiseXOR(F.get(F.col(b), 0))))
+def _bits(a: str, b: str, words: int) -> Column:
+    each = [F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(words)]
+    return sum(each[1:], each[0])
+
+
+def _sides(nodes: DataFrame) -> list[DataFrame]:
+    """What ``_promising`` needs of a pair's nodes a and b."""
+    return [nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("whole").alias(f"whole_{x}")) for x in ("a", "b")]
+
+
+def _promising(percent: int) -> Column:
+    """Whether a pair has to be verified: its samples agree well enough, and its sets may differ in few enough shingles."""
+    most = F.col("n_a") + F.col("n_b")
+    return ((100 + percent) * _bits("whole_a", "whole_b", WHOLE_WORDS) <= (100 - percent) * most) & (_bits("sketch_a", "sketch_b", SKETCH_WORDS) <= most_bits(percent / 100))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,12 +197,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(few, "node", "left_semi")
-    # the key tells a node's own text from others with the same doc_id
+    # the key tells a node's own sets from other rows with its doc_id that are no smallest ones of their set
     sets = texts.mapInArrow(_sets(n), "node long, key binary, set array<long>").join(nodes.select("node", "key"), ["node", "key"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["node"]).drop("key"))
+    sets = materialize(sets.dropDuplicates(["node", "key"]).drop("key"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("t"))
-    return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+    return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -190,12 +214,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component), are linked with nothing. Rows of the same doc_id are one document.
     """
     docs = docs.select("doc_id", "text")
-    rows = materialize(docs.mapInArrow(_sketched(n), "doc_id long, n_shingles long, key binary, buckets array<long>, sketch array<long>"))
+    rows = materialize(docs.mapInArrow(_sketched(n), "doc_id long, n_shingles long, key binary, buckets array<long>, sketch array<long>, whole array<long>"))
     full = rows.where("key is not null and doc_id is not null")
-    groups = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+    groups = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
     groups = materialize(groups)
-    nodes = groups.select("node", "key", "sketch")
-    limit = most_bits(percent / 100)
+    nodes = groups.select("node", "key", "n_shingles", "sketch", "whole")
 
     entries = groups.select("node", F.explode("buckets").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -205,8 +228,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     weighed = shared.select("bucket", "node").join(typical, "node")
     leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("x")).select("bucket", (-F.col("x.m")).alias("lead"))
     star = shared.join(leads, "bucket").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    left, right = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
-    star = star.join(left, "a").join(right, "b").where(_bits("sketch_a", "sketch_b") <= limit).select("a", "b")
+    left, right = _sides(nodes)
+    star = star.join(left, "a").join(right, "b").where(_promising(percent)).select("a", "b")
     star = materialize(star)
     links = materialize(_verified(star, nodes, docs, n, percent))
     found = components(links)
@@ -215,10 +238,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     placed = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("bucket", (-F.col("x.c")).alias("main"))
-    open_ = materialize(placed.join(main, "bucket").join(nodes.select("node", "sketch"), "node"))
-    few = open_.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sketch_a"))
-    rest = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sketch_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    near = few.join(rest, [few.bucket == rest.bucket, F.col("ca") != F.col("cb"), F.col("in_main") | (F.col("a") < F.col("b")), _bits("sketch_a", "sketch_b") <= limit])
+    open_ = materialize(placed.join(main, "bucket"))
+    few = open_.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
+    rest = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main")).join(right, "b")
+    near = few.join(rest, [few.bucket == rest.bucket, F.col("ca") != F.col("cb"), F.col("in_main") | (F.col("a") < F.col("b")), _promising(percent)])
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = materialize(near.join(star, ["a", "b"], "left_anti"))
     more = materialize(_verified(near, nodes, docs, n, percent))
