@@ -105,8 +105,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     rows = docs.select([c for c in docs.columns if c not in ("n_tokens", "repeats")]).withColumns(own | {"n_tokens": tokens_of(F.col(text))})
     slim = materialize(rows.select(*names, "doc_id", "n_tokens"))
     found = plan(slim, names, {f"_l_{k}": w for k, w in weights.items()}, budget, epochs, seed)
-    out = rows.join(found, names).withColumn("repeats", F.col("whole") + F.coalesce((_order(seed, F.col("whole"), F.col("doc_id")) <= F.col("cutoff")).cast("long"), F.lit(0)))
-    return out.drop(*names, "tokens", "whole", "cutoff")
+    found = found.select(*names, F.col("whole").alias("_whole"), F.col("cutoff").alias("_cutoff"))
+    out = rows.join(found, names).withColumn("repeats", F.col("_whole") + F.coalesce((_order(seed, F.col("_whole"), F.col("doc_id")) <= F.col("_cutoff")).cast("long"), F.lit(0)))
+    return out.drop(*names, "_whole", "_cutoff")
 
 
 #: The tree of the query and the pipeline.
