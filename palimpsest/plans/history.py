@@ -146,7 +146,7 @@ def high_water_clock(spark, sf_dir):
 _LICENSES = "(values (0, 'ok', 0, 400, 30, true), (1, 'short', 0, 20, 30, true), (2, 'grace', 0, -10, 30, true), (3, 'past', 0, -60, 30, true), (4, 'early', 10, 400, 30, true), (5, 'forged', 0, 400, 30, false)) l(id, name, from_day, to_day, grace_days, valid)"
 
 
-@query(f"with c as ({_CLOCK}), h as (select event_id, wall, max(wall) over (order by event_id) high from c), z as (select min(wall) z from c), x as (select event_id, name, high now, high - wall back, z + from_day * 86400000 nb, high - (high - z) % 864000000 + to_day * 86400000 na, grace_days, valid from h, z, {_LICENSES} where event_id % 6 = id), y as (select *, na + grace_days * 86400000 hard from x) select event_id, name, case when not valid then 'Degraded' when now < nb then 'Degraded' when now >= hard then 'Degraded' when now >= na then 'Warning' when back > 30 * 86400000 then 'Warning' when (na - now) // 86400000 <= 30 then 'Warning' else 'Ok' end status, (case when not valid or now < nb or now >= hard then null when now >= na then (hard - now) // 86400000 else (na - now) // 86400000 end)::bigint as days from y")
+@query(f"with c as ({_CLOCK}), h as (select event_id, wall, max(wall) over (order by event_id) high from c), z as (select min(wall) z from c), x as (select event_id, name, high now, high - wall back, z + from_day * 86400000::bigint nb, high - (high - z) % 864000000 + to_day * 86400000::bigint na, grace_days, valid from h, z, {_LICENSES} where event_id % 6 = id), y as (select *, na + grace_days * 86400000::bigint hard from x) select event_id, name, case when not valid then 'Degraded' when now < nb then 'Degraded' when now >= hard then 'Degraded' when now >= na then 'Warning' when back > 30 * 86400000::bigint then 'Warning' when (na - now) // 86400000::bigint <= 30 then 'Warning' else 'Ok' end status, (case when not valid or now < nb or now >= hard then null when now >= na then (hard - now) // 86400000::bigint else (na - now) // 86400000::bigint end)::bigint as days from y")
 def license_status(spark, sf_dir):
     day = F.lit(86_400_000).cast("long")
     h = high_water_clock(spark, sf_dir).join(_clock(spark, sf_dir).agg(F.min("wall").alias("z")), F.lit(True))
