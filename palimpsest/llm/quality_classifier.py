@@ -156,6 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_unla
     other = bounded_sample(rows, max_unlabelled + max_labelled, F.col("doc_id")).join(picked, "doc_id", "left_anti").limit(max_unlabelled)
     sample = known.select(*columns, "y").union(other.select(*columns, F.lit(-1).alias("y")))
     row = fit_in_task(sample.coalesce(1).sortWithinPartitions("y", "text", "source", "lang"), _fit(rounds, surest, sure), "content binary, metadata binary, both binary").first()
+    if row is None:  # an empty sample
+        return Model(np.zeros(N_CONTENT + 1), np.zeros(N_METADATA + 1), np.array([0.0, 0.0, 10.0]))
     return Model(*(np.frombuffer(row[c], np.float64) for c in ("content", "metadata", "both")))
 
 

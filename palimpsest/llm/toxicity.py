@@ -61,7 +61,7 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, decay: flo
     sent_of: list[np.ndarray] = []
     doc_of: list[np.ndarray] = []
     labels: list[int] = []
-    n_sent = 0
+    n_sent, spread = 0, np.zeros(1 << BITS, np.int64)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for block in blocks(texts):
@@ -69,6 +69,9 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, decay: flo
             at, found = words(block)
             own = np.searchsorted(s, at, "right") - 1
             feats.append(np.stack(found, 1))
+            # in how many documents each feature occurs: once for each piece here
+            for f in found:
+                spread += np.bincount(np.unique(f.astype(np.int64) * len(block.rows) + piece[own]) // len(block.rows), minlength=1 << BITS)
             sent_of.append(own + n_sent)
             doc_of.append(block.rows[piece] + len(labels))
             n_sent += len(s)
@@ -76,23 +79,23 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, decay: flo
     weights, bias = np.zeros(1 << BITS, np.float32), -10.0
     y = np.array(labels, np.float64)
     if n_sent and 0 < y.sum() < len(y):
-        x, sent, doc = np.concatenate(feats), np.concatenate(sent_of), np.concatenate(doc_of)
-        # features of fewer than ``least`` documents keep weight 0
-        order = np.unique(x.ravel().astype(np.int64) * len(y) + np.repeat(doc[sent], x.shape[1]))
-        common = np.bincount(order // len(y), minlength=1 << BITS) >= least
-        code = np.cumsum(common) * common
-        cols, size = code[x], int(common.sum()) + 1
-        keep = (cols > 0).any(1)
-        cols, sent = cols[keep], sent[keep]
+        common = spread >= least  # the other features keep weight 0
+        code = np.where(common, np.cumsum(common), 0).astype(np.int32)
+        size = int(common.sum()) + 1
+        kept = [(code[f] > 0).any(1) for f in feats]
+        sent, doc = np.concatenate([x[k] for x, k in zip(sent_of, kept, strict=True)]), np.concatenate(doc_of)
+        columns = [np.concatenate([code[f[k, c]] for f, k in zip(feats, kept, strict=True)]) for c in range(1 + len(PREFIXES))]
+        del feats, sent_of, kept
         w, m, v, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0
         for t in range(1, epochs + 1):
-            z = np.clip(bias + np.bincount(sent, weights=w[cols].sum(1), minlength=n_sent), -30, 30)
+            z = np.clip(bias + np.bincount(sent, weights=sum(w[c] for c in columns), minlength=n_sent), -30, 30)
             p = 1 / (1 + np.exp(-z))
             quiet = np.bincount(doc, weights=np.log1p(np.exp(z)), minlength=len(y))  # -log P(no toxic sentence)
             # d(-log likelihood)/dz of a sentence: p if the label is 0, -p * (1 - P) / P if it is 1
             slope = np.where(y > 0, -1 / np.expm1(np.clip(quiet, 1e-9, 700)), 1.0)
             g = p * slope[doc]
-            gw = np.bincount(cols.ravel(), weights=np.repeat(g[sent], cols.shape[1]), minlength=size) / len(y) + decay
+            each = g[sent]
+            gw = sum(np.bincount(c, weights=each, minlength=size) for c in columns) / len(y) + decay
             gb = g.sum() / len(y)
             gw[0] = 0
             m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -134,7 +137,7 @@ class Model:
         return -np.expm1(-quiet), found
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, epochs: int = 120, rate: float = 0.2, decay: float = 3e-4, least: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, epochs: int = 120, rate: float = 0.2, decay: float = 3e-4, least: int = 3) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows with nulls are left out.
 
     At most ``max_docs`` documents of each label are read, the first by a hash of their id.
@@ -147,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, epochs: int
     sample = bounded_sample(sample.select("text", "y", "doc_id"), 2 * max_docs, F.col("doc_id"), F.col("text"), F.col("y"))
     fit = lambda batches: _fit(batches, epochs, rate, decay, least)
     row = fit_in_task(sample.select("text", "y"), fit, "weights binary, bias double").first()  # one row of 2**BITS weights
+    if row is None:  # an empty sample
+        return Model(np.zeros(1 << BITS, np.float32), -10.0)
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
