@@ -71,45 +71,54 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: F.when(text.rlike(GATES[kind]), spans(text, pattern, group, least, kind, rank)).otherwise(none) for rank, (kind, pattern, group, least) in enumerate(KINDS)}
 
 
+def characters(token: Column) -> Column:
+    """A token's characters, in one pass over it."""
+    return F.filter(F.split(token, "", -1), lambda c: c != "")
+
+
 def transitions(tokens: DataFrame, column: str) -> DataFrame:
     """Counts of adjacent characters of the alphabet in a column of tokens."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.substring(F.col(column), i, F.lit(2)))
+    pairs = let(characters(F.col(column)), lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)))
     return tokens.where(F.length(column) > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", max_docs: int = 2000) -> list[float]:
+def train(docs: DataFrame, text: str = "text", max_docs: int = 10_000) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of the transitions, row by row of ``ALPHABET`` (and one place for other characters).
 
-    The labelled sample: base spans of at most ``max_docs`` documents that have any, with as
-    many digests of their texts, are random; the other alphanumeric runs of at most
-    ``max_docs`` documents are ordinary. Both are the first documents by a hash of the text.
+    The labelled sample is of at most ``max_docs`` documents, the first by a hash of the
+    text. Their base spans, and digests of their texts, are random; the alphanumeric runs of
+    those without base spans are ordinary.
     """
     t = F.col(text)
     rows = docs.select(text).where(t.isNotNull() & (t != ""))
     hit = t.rlike("|".join(f"(?:{g})" for g in GATES.values()))
-    some = bounded_sample(rows.where(hit), max_docs, t).withColumn("_hit", F.lit(True))
-    other = bounded_sample(rows.where(~hit), max_docs, t).withColumn("_hit", F.lit(False))
-    sample = materialize(some.union(other))
-    value = F.concat(*[F.filter(F.regexp_extract_all(t, F.lit(p), F.lit(g)), lambda m, n=n: F.length(m) >= n) for _, p, g, n in KINDS])
+    sample = materialize(bounded_sample(rows, max_docs, t).withColumn("_hit", hit))
+    long_enough = lambda found, n: F.filter(found, lambda m: F.length(m) >= n)
+    value = F.concat(*[long_enough(F.regexp_extract_all(t, F.lit(p), F.lit(g)), n) for _, p, g, n in KINDS])
     value = F.array_union(value, F.array(F.base64(F.unhex(F.sha2(t, 256))), F.sha2(t, 256)))
     random = transitions(sample.select(F.explode(value).alias("_t")), "_t").withColumn("random", F.lit(True))
     ordinary = transitions(sample.where(~F.col("_hit")).select(F.explode(F.regexp_extract_all(t, F.lit(RUN), F.lit(0))).alias("_t")), "_t").withColumn("random", F.lit(False))
     size = len(ALPHABET) + 1
-    counts = {True: [1.0] * size * size, False: [1.0] * size * size}
+    counts = {k: [[0] * size for _ in range(size)] for k in (True, False)}
     for r in random.union(ordinary).collect():  # at most one row for each pair of alphabet characters and model
         a, b = (ALPHABET.find(c) + 1 for c in r["pair"])
-        counts[r["random"]][a * size + b] += r["n"]
-    out = []
-    for a in range(size):
-        r, o = (counts[k][a * size : (a + 1) * size] for k in (True, False))
-        out += [round(math.log(x / sum(r)) - math.log(y / sum(o)), 3) for x, y in zip(r, o, strict=True)]
-    return out
+        counts[r["random"]][a][b] += r["n"]
+    chances = {k: _smoothed(v) for k, v in counts.items()}
+    return [round(math.log(x / y), 3) for r, o in zip(chances[True], chances[False], strict=True) for x, y in zip(r, o, strict=True)]
+
+
+def _smoothed(counts: list[list[int]], weight: float = 5.0) -> list[list[float]]:
+    """Transition probabilities; each character's are drawn to the overall ones with the weight of so many transitions."""
+    n = len(counts)
+    totals = [sum(row[b] for row in counts) + 0.5 for b in range(n)]
+    overall = [x / sum(totals) for x in totals]
+    return [[(row[b] + weight * overall[b]) / (sum(row) + weight) for b in range(n)] for row in counts]
 
 
 def likelihood_ratio(token: Column, table: Column, index: Column) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     size = len(ALPHABET) + 1
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.get(index, F.ascii(F.substring(token, i, F.lit(1)))))
+    codes = F.transform(characters(token), lambda c: F.get(index, F.ascii(c)))
 
     def mean(c: Column) -> Column:
         steps = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.get(table, a * size + b))
