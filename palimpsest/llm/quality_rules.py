@@ -115,48 +115,52 @@ def _factor(moments: DataFrame, names: list[str], floors: list[float]) -> DataFr
 
 def scatter_groups(rows: DataFrame, lang: str = "lang", source: str = "source", least: int = LEAST_ROWS) -> DataFrame:
     """``rows`` with ``_g``: language and source, or a pool of small groups (see ``LEAST_ROWS``)."""
-    def sizes(key: str) -> DataFrame:
-        return rows_with.groupBy(key).agg(F.count("*").alias("_n"))
-
     own = F.to_json(F.struct(F.coalesce(F.col(lang), F.lit("")).alias("l"), F.coalesce(F.col(source), F.lit("")).alias("s")))
     rows_with = rows.withColumns({"_own": own, "_lang": F.to_json(F.struct(F.coalesce(F.col(lang), F.lit("")).alias("l")))})
     kinds = rows_with.groupBy("_own", "_lang").agg(F.count("*").alias("_n"))
     small = kinds.where(F.col("_n") < least).groupBy("_lang").agg(F.sum("_n").alias("_m"))
     keys = kinds.join(small, "_lang", "left").select("_own", F.when(F.col("_n") >= least, F.col("_own")).when(F.col("_m") >= least, F.col("_lang")).otherwise(F.lit("*")).alias("_g"))
-    return rows_with.join(keys, "_own").drop("_own", "_lang")
+    return rows_with.join(materialize(keys), "_own").drop("_own", "_lang")
 
 
 def robust_distances(rows: DataFrame, names: list[str], floors: list[float], steps: int = STEPS) -> DataFrame:
-    """``rows`` (materialised, with ``_g``) with ``distance``: squared, from their group's MCD estimate."""
+    """``rows`` (materialised, with ``_g``) with ``distance``: squared, from their group's MCD estimate.
+
+    What each step finds for the groups is written first. Rows then join a table of known
+    size, which Spark broadcasts below its threshold, instead of being dealt out by group.
+    """
     n = len(names)
     middle = rows.groupBy("_g").agg(*[F.percentile(_binned(F.col(x)), F.lit(0.5)).alias(f"m_{i}") for i, x in enumerate(names)])
-    spread = rows.join(middle, "_g").groupBy("_g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)], *[F.percentile(_binned(F.abs(F.col(x) - F.col(f"m_{i}"))), F.lit(0.5)).alias(f"d_{i}") for i, x in enumerate(names)])
+    spread = rows.join(materialize(middle), "_g").groupBy("_g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)], *[F.percentile(_binned(F.abs(F.col(x) - F.col(f"m_{i}"))), F.lit(0.5)).alias(f"d_{i}") for i, x in enumerate(names)])
     params = spread.select("_g", *[f"m_{i}" for i in range(n)], *[(F.sqrt((1.4826 * F.col(f"d_{i}")) ** 2 + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(n) for j in range(i + 1)])
     for _ in range(steps):
         params = materialize(params)
-        near = rows.join(params, "_g").select("_g", *names, _binned(F.log(_distance(names) + 1e-6)).alias("_d"))
-        limit = near.groupBy("_g").agg(F.percentile("_d", F.lit(SHARE)).alias("_t"))
+        depth = _binned(F.log(_distance(names) + 1e-6))
+        limit = rows.join(params, "_g").groupBy("_g").agg(F.percentile(depth, F.lit(SHARE)).alias("_t"))
+        limited = materialize(params.join(limit, "_g"))
+        near = rows.join(limited, "_g").where(depth <= F.col("_t"))
         sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in range(n) for j in range(i + 1)]]
-        params = _factor(near.join(limit, "_g").where("_d <= _t").groupBy("_g").agg(*sums), names, floors)
+        params = _factor(near.groupBy("_g").agg(*sums), names, floors)
     params = materialize(params)
     return rows.join(params, "_g").select(*rows.columns, _distance(names).alias("distance"))
 
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` without its text: the statistics, ``distance`` and ``kept``.
+    """``docs`` without its text: the statistics, ``distance`` and ``kept`` (columns of these names, and of ``FLOORS``, are replaced).
 
     Rows that fail the fixed limits are not kept, have no distance and do not count in the
     estimates. The others are kept up to a squared distance of ``CUTOFF``. Null languages and
     sources are groups of their own; pools of fewer than ``LEAST_ROWS`` rows in all are kept.
     """
-    stats = materialize(statistics(docs).drop("text"))
     names, floors = list(FLOORS), list(FLOORS.values())
+    own = [c for c in docs.columns if c not in (*names, "distance", "kept", "_g", "_own", "_lang")]
+    stats = materialize(statistics(docs.select(own)).drop("text"))
     rows = features(stats.where(~F.col("base_failed")))
     rows = materialize(scatter_groups(rows, lang, source))
     judged = robust_distances(rows, names, floors)
-    pool = (F.col("_g") == "*") & (F.col("_n") < LEAST_ROWS)
-    total = rows.where("_g = '*'").groupBy("_g").agg(F.count("*").alias("_n"))
-    judged = judged.join(total, "_g", "left").withColumn("kept", (F.col("distance") <= CUTOFF) | F.coalesce(pool, F.lit(False))).drop("_n", "_g", *names)
+    few = rows.where("_g = '*'").count() < LEAST_ROWS
+    kept = F.col("distance") <= CUTOFF
+    judged = judged.withColumn("kept", (kept | (F.col("_g") == "*")) if few else kept).drop("_g", *names)
     failed = stats.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.select(failed.columns).union(failed)
 
