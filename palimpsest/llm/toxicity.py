@@ -21,6 +21,8 @@ from .common import bounded_sample, crc_mod, fit_in_task
 BITS = 18
 #: A word is hashed whole and by its first four and five letters.
 PREFIXES = (4, 5)
+#: The bias of a model without labels: no number of sentences makes a text toxic.
+UNTRAINED = -30.0
 _ENDS = np.array([ord(c) for c in ".!?\n。！？"], np.uint32)
 
 
@@ -76,7 +78,7 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, decay: flo
             doc_of.append(block.rows[piece] + len(labels))
             n_sent += len(s)
         labels += batch.column(1).to_pylist()
-    weights, bias = np.zeros(1 << BITS, np.float32), -10.0
+    weights, bias = np.zeros(1 << BITS, np.float32), UNTRAINED
     y = np.array(labels, np.float64)
     if n_sent and 0 < y.sum() < len(y):
         common = spread >= least  # the other features keep weight 0
@@ -86,6 +88,7 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, decay: flo
         sent, doc = np.concatenate([x[k] for x, k in zip(sent_of, kept, strict=True)]), np.concatenate(doc_of)
         columns = [np.concatenate([code[f[k, c]] for f, k in zip(feats, kept, strict=True)]) for c in range(1 + len(PREFIXES))]
         del feats, sent_of, kept
+        bias = -10.0
         w, m, v, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0
         for t in range(1, epochs + 1):
             z = np.clip(bias + np.bincount(sent, weights=sum(w[c] for c in columns), minlength=n_sent), -30, 30)
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, epochs: int
     fit = lambda batches: _fit(batches, epochs, rate, decay, least)
     row = fit_in_task(sample.select("text", "y"), fit, "weights binary, bias double").first()  # one row of 2**BITS weights
     if row is None:  # an empty sample
-        return Model(np.zeros(1 << BITS, np.float32), -10.0)
+        return Model(np.zeros(1 << BITS, np.float32), UNTRAINED)
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
