@@ -1,17 +1,16 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming search, exact verification.
 
 Documents and benchmark items become arrays of words; a shingle is five words with its
-letters as weight. Windows as long as an item are taken wherever a document has a shingle of
-that item, aligned with it; a window elsewhere shares no shingle with the item at that
-alignment and could not pass verification. Each window gets a 64-bit SimHash of its
-weighted shingles. Fingerprints within ``RADIUS`` bits agree on one of ``RADIUS + 1`` blocks
+letters as weight. Windows as long as an item are taken at every word where the item's
+shingles inside weigh enough to reach the similarity, aligned with the item or not; elsewhere
+no window could pass verification. Each window gets a 64-bit SimHash of its weighted shingles. Fingerprints within ``RADIUS`` bits agree on one of ``RADIUS + 1`` blocks
 at least, so a join on blocks finds all of them. Pairs within the radius are verified by
 weighted Jaccard similarity of their shingle sets. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialize
@@ -24,6 +23,8 @@ RADIUS = 19
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many benchmark shingles are sent to every executor (about 40 bytes each); beyond that the join shuffles.
 BROADCAST_SHINGLES = 500_000
+#: Up to so many documents with candidate windows are named to every executor; beyond that the join shuffles.
+BROADCAST_DOCS = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -76,21 +77,56 @@ def similarity(a: Column, b: Column) -> Column:
     return let(weight(F.array_intersect(a, b)), lambda both: both / (weight(a) + weight(b) - both))
 
 
+def candidates(docs: DataFrame, items: DataFrame, least: float, text: str) -> DataFrame:
+    """Starts of windows that may reach ``least``: _r (hash of the document's row), len, start (below 0 before the text) and aligned.
+
+    A window's similarity is at least ``least`` only if the item's shingles in it weigh
+    ``least`` of the item. That sum changes only where a shingle comes into the window or
+    leaves it: two events for each shingle found, and a running sum over them. ``aligned``
+    marks starts at which a shingle is in the same place as in the item.
+    """
+    total = F.aggregate("item_set", F.lit(0), lambda t, x: t + x["w"])
+    each = items.select(F.xxhash64("_h").alias("iid"), "len", total.alias("total"), "_h", F.explode("item_set").alias("x"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.get("_h", i) == F.col("x.h"))
+    anchors = materialize(each.select("iid", "len", "total", "x.h", "x.w", places.alias("ats")).dropDuplicates(["iid", "h"]))
+    if anchors.count() <= BROADCAST_SHINGLES:
+        anchors = F.broadcast(anchors)
+    rows = docs.select(F.xxhash64("doc_id", text).alias("_r"), words_of(F.col(text)).alias("_w")).select("_r", F.posexplode(shingle_hashes(F.col("_w"))).alias("pos", "h"))
+    event = lambda at, d, aligned: F.struct(at.cast("int").alias("at"), d.cast("long").alias("d"), F.lit(aligned).alias("aligned"))
+    pos, room = F.col("pos"), F.greatest(F.col("len") - SHINGLE + 1, F.lit(1))
+    ends = F.array(event(pos - room + 1, F.col("w"), False), event(pos + 1, -F.col("w"), False))
+    events = F.concat(ends, F.transform("ats", lambda at: event(pos - at, F.lit(0), True)))
+    found = rows.join(anchors, "h").select("_r", "iid", "len", "total", F.explode(events).alias("e"))
+    found = found.groupBy("_r", "iid", "len", "total", "e.at").agg(F.sum("e.d").alias("d"), F.max("e.aligned").alias("aligned"))
+    order = Window.partitionBy("_r", "iid").orderBy("at")
+    held = found.withColumn("held", F.sum("d").over(order)).withColumn("next", F.lead("at").over(order))
+    held = held.where((F.col("held") > 0) & (F.col("held") >= F.col("total") * F.lit(least) - 1e-6))
+    starts = held.select("_r", "len", "at", "aligned", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"))
+    starts = starts.select("_r", "len", "start", (F.col("aligned") & (F.col("start") == F.col("at"))).alias("aligned"))
+    return starts.groupBy("_r", "len", "start").agg(F.max("aligned").alias("aligned"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, text: str = "text") -> DataFrame:
     """For each document and benchmark item that it repeats: doc_id, item_id, similarity, start (word of the best window, from 0) and n_windows.
 
+    ``similarity`` is the best of all windows; ``n_windows`` counts the aligned ones among those
+    that reach ``least``, so it is 0 where only windows between two alignments do.
     Items and documents without words match nothing. Items of fewer than five words are one
     shingle and match documents that consist of just these words. Repeated item ids give one
     row; so do rows of one doc_id, whose windows count together.
     """
     items = materialize(benchmark.select("item_id", words_of(F.col("text")).alias("_w")).where(F.size("_w") > 0).select("item_id", F.size("_w").alias("len"), weighted_shingles(F.col("_w")).alias("item_set"), shingle_hashes(F.col("_w")).alias("_h")))
-    anchors = materialize(items.select("len", F.posexplode("_h").alias("at", "h")).distinct())
-    if anchors.count() <= BROADCAST_SHINGLES:
-        anchors = F.broadcast(anchors)
-    rows = docs.select("doc_id", words_of(F.col(text)).alias("_w")).select("doc_id", "_w", F.posexplode(shingle_hashes(F.col("_w"))).alias("pos", "h"))
-    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    end = F.least(F.col("pos") - F.col("at") + F.col("len"), F.size("_w"))
-    windows = rows.join(anchors, "h").select("doc_id", "len", start.alias("start"), F.array_join(F.slice("_w", start + 1, end - start), " ").alias("window")).distinct()
+    starts = materialize(candidates(docs, items, least, text))
+    named = starts.select("_r").distinct()
+    if named.count() <= BROADCAST_DOCS:
+        named = F.broadcast(named)
+    held = docs.select("doc_id", F.col(text).alias("_t"), F.xxhash64("doc_id", text).alias("_r")).join(named, "_r", "left_semi")
+    lists = starts.groupBy("_r").agg(F.collect_list(F.struct("len", "start", "aligned")).alias("_s"))
+    rows = held.join(lists, "_r").select("doc_id", words_of(F.col("_t")).alias("_w"), "_s").select("doc_id", "_w", F.explode("_s").alias("s")).select("doc_id", "_w", "s.*")
+    start = F.greatest(F.col("start"), F.lit(0))
+    end = F.least(F.col("start") + F.col("len"), F.size("_w"))
+    windows = rows.select("doc_id", "len", start.alias("start"), F.array_join(F.slice("_w", start + 1, end - start), " ").alias("window"), "aligned")
+    windows = windows.groupBy("doc_id", "len", "start", "window").agg(F.max("aligned").alias("aligned"))
     windows = windows.withColumn("doc_set", weighted_shingles(F.split("window", " "))).withColumn("fp", simhash(F.col("doc_set")))
     windows = materialize(windows.withColumn("wid", F.xxhash64("doc_id", "start", "len", "window")).drop("window"))
     marked = materialize(items.withColumn("item_fp", simhash(F.col("item_set"))).drop("_h"))
@@ -99,8 +135,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     near = ours.join(theirs, ["len", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("wid", "item_id", "len", "item_fp").distinct()
     pairs = near.join(windows.drop("len", "fp"), "wid").join(marked, ["item_id", "len", "item_fp"])
     pairs = pairs.withColumn("similarity", similarity(F.col("doc_set"), F.col("item_set"))).where(F.col("similarity") >= least)
-    best = F.max_by(F.col("start"), F.struct("similarity", -F.col("start")))
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"), F.count("*").alias("n_windows"))
+    best = F.max_by(F.col("start"), F.struct("similarity", "aligned", -F.col("start")))
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"), F.count_if("aligned").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:

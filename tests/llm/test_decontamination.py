@@ -46,6 +46,38 @@ def test_against_brute_force(spark, docs_of, prose):
     assert all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
+def aligned_best(text, item):
+    """The best of the windows at which a shingle of the text is in its place in the item."""
+    w, x = WORDS.findall(text.lower()), WORDS.findall(item.lower())
+    b, best = shingles(x), 0
+    for p in range(len(w) - 4):
+        for q in range(len(x) - 4):
+            if w[p : p + 5] == x[q : q + 5]:
+                a = shingles(w[max(p - q, 0) : p - q + len(x)])
+                both = sum(v for s, v in a.items() if s in b)
+                best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
+    return best
+
+
+def test_insertions_and_deletions(spark, docs_of, prose):
+    """Windows between two alignments can pass where the aligned ones don't."""
+    items = [(i, prose(700 + i, 46 + i)) for i in range(6)]
+    docs = []
+    for i, item in items:
+        words = item.split()
+        for k in range(2, 7):
+            for at in (5, len(words) - 6):
+                more = prose(1000 + 10 * i + k, k, "klmnop").split()
+                docs.append((10_000 + 1000 * i + 100 * k + at, " ".join([prose(i, 20), *words[:at], *more, *words[at:], prose(50 + i, 20)])))
+                docs.append((50_000 + 1000 * i + 100 * k + at, " ".join([prose(i, 20), *words[:at], *words[at + k :], prose(50 + i, 20)])))
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    texts, known = dict(docs), dict(items)
+    assert any(aligned_best(texts[d], known[i]) < 0.8 for d, i in want)
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_blocks_guarantee_the_radius(spark):
     import random
 
