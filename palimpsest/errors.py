@@ -39,3 +39,7 @@ class NotDurable(StoreError):
 
 class Unsupported(StoreError):
     """A fleet query asks for what partial results cannot be merged into."""
+
+
+class Truncated(StoreError):
+    """A bounded search ended before it had found everything."""

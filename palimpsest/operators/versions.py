@@ -6,12 +6,14 @@ no row for one that they say nothing about.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_OVERLAY_DEPTH
+from ..errors import Truncated
 
 
 def resolve(chain: DataFrame, *keys: str) -> DataFrame:
@@ -105,22 +107,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, roots: DataFrame, steps: int, source: str = "child", target: str = "parent") -> DataFrame:
-    """(root, node, distance) for all nodes that edges lead to within ``steps``, by shortest distance.
+def closure(edges: DataFrame, roots: DataFrame, steps: int | None = None, source: str = "child", target: str = "parent") -> DataFrame:
+    """(root, node, distance) for all nodes that edges lead to, by shortest distance; ``Truncated`` if ``steps`` rounds don't reach all.
 
-    A frontier loop: only nodes reached for the first time go on, so cycles end it.
+    A frontier loop: only nodes reached for the first time go on, so cycles end it. Without
+    ``steps`` it goes on until nothing is new; where no node has two targets each round
+    doubles the distance, so a long history takes few rounds.
     """
     edges = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null")
     seen = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("distance")).distinct()
+    if steps is None:
+        edges = checkpointed(edges.distinct())
+        if edges.groupBy("_s").count().where("count > 1").isEmpty():
+            return _chains(edges, seen)
     front = seen
-    for k in range(1, steps + 1):
+    for k in itertools.count(1):
         reached = front.join(edges, F.col("node") == F.col("_s")).select("root", F.col("_t").alias("node")).distinct()
         front = reached.join(seen, ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
         front = checkpointed(front)
         if front.isEmpty():
-            break
+            return seen
+        if k == steps:
+            more = front.join(edges, F.col("node") == F.col("_s")).select("root", F.col("_t").alias("node"))
+            if not more.join(seen.unionByName(front), ["root", "node"], "left_anti").isEmpty():
+                raise Truncated(f"more than {steps} steps")
+            return seen.unionByName(front)
         seen = seen.unionByName(front)
-    return seen
+
+
+def _chains(jumps: DataFrame, seen: DataFrame) -> DataFrame:
+    """``closure`` over at most one target a node: ``jumps`` leads 1, 2, 4, ... steps on, and ``seen`` has all nearer nodes."""
+    far = 1
+    while True:
+        reached = seen.join(jumps, F.col("node") == F.col("_s")).select("root", F.col("_t").alias("node"), (F.col("distance") + far).alias("distance"))
+        reached = reached.groupBy("root", "node").agg(F.min("distance").alias("distance"))
+        new = checkpointed(reached.join(seen, ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = checkpointed(seen.unionByName(new))
+        jumps = checkpointed(jumps.alias("a").join(jumps.alias("b"), F.col("a._t") == F.col("b._s")).select("a._s", "b._t"))
+        far *= 2
 
 
 def merge_base(ancestors_a: DataFrame, ancestors_b: DataFrame) -> DataFrame:

@@ -138,11 +138,11 @@ class VersionedTable:
         self._move("branch", branch, manifest)
         return manifest
 
-    def ancestors(self, manifest: str, most: int = 10_000) -> DataFrame:
+    def ancestors(self, manifest: str) -> DataFrame:
         """(node, distance) along parents, from a state to the root."""
         edges = self._read("manifests", MANIFESTS).select(F.col("manifest").alias("child"), "parent")
         roots = self.spark.createDataFrame([(manifest,)], "node string")
-        return versions.closure(edges, roots, most).select("node", "distance")
+        return versions.closure(edges, roots).select("node", "distance")
 
     def merge_base(self, a: str, b: str) -> str | None:
         return versions.merge_base(self.ancestors(a), self.ancestors(b)).first()["merge_base"]
@@ -157,5 +157,5 @@ class VersionedTable:
         """States that no branch or tag leads to, by parents and overlay bases: what may be removed."""
         m = self._read("manifests", MANIFESTS)
         edges = m.select(F.col("manifest").alias("child"), "parent").union(m.select("manifest", "overlay_base")).where("parent is not null").distinct()
-        live = versions.closure(edges, self.refs().select("manifest").distinct(), 10_000).select(F.col("node").alias("manifest")).distinct()
+        live = versions.closure(edges, self.refs().select("manifest").distinct()).select(F.col("node").alias("manifest")).distinct()
         return m.select("manifest").join(live, "manifest", "left_anti")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from palimpsest.errors import Conflict, Missing, NoSuchRef, RefExists
+from palimpsest.errors import Conflict, Missing, NoSuchRef, RefExists, Truncated
 from palimpsest.operators import fleet, logs, versions
 from palimpsest.sources.store import ROOT, VersionedTable
 from palimpsest.streaming import replica
@@ -106,3 +106,27 @@ def test_eviction_stops_at_the_budget(spark):
     pages = spark.createDataFrame([(i, 10, 100 - i, i != 3) for i in range(10)], "page long, size long, touched long, durable boolean")
     assert {r.page for r in logs.evictions(pages, 75).collect()} == {9, 8, 7}
     assert logs.evictions(pages, 100).count() == 0
+
+
+def test_history_of_any_length(spark, tmp_path):
+    """More commits than any fixed number of rounds reaches: all of them are live, and old forks have their base."""
+    store, n = VersionedTable(spark, str(tmp_path), "p"), 10_100
+    line = [(f"m{i}", f"m{i - 1}" if i else ROOT, None, 0, 0, i) for i in range(n)]
+    store._append("manifests", [*line, ("fork", "m3", None, 0, 0, n), ("loose", "m5", None, 0, 0, n)], "manifest string, parent string, overlay_base string, depth int, page_count long, created_at_ms long")
+    store.branch("main", f"m{n - 1}")
+    store.branch("old", "fork")
+    assert [r.manifest for r in store.unreachable().collect()] == ["loose"]
+    assert store.merge_base(f"m{n - 1}", "fork") == "m3"
+
+
+def test_closure_is_whole_or_refused(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "child long, parent long")
+    loop = chain.union(spark.createDataFrame([(6, 2)], chain.schema))
+    forked = loop.union(spark.createDataFrame([(0, 4)], chain.schema))
+    root = spark.createDataFrame([(0,)], "node long")
+    far = lambda df: {r.node: r.distance for r in df.collect()}
+    want = {i: i for i in range(7)}
+    assert far(versions.closure(chain, root)) == far(versions.closure(loop, root)) == far(versions.closure(chain, root, 6)) == want
+    assert far(versions.closure(forked, root)) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 3}
+    with pytest.raises(Truncated):
+        versions.closure(chain, root, 5).collect()
