@@ -39,6 +39,16 @@ def head_state(log: DataFrame) -> DataFrame:
     return last.select("page_no", "_x.page_id").where("page_id is not null")
 
 
+def numbered(records: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``records`` (page_no, txn) with ``lsn``, from 1 in order of txn and page_no. Counts of ranges of txn first; the order within a range is a window of its own."""
+    bounds = records.agg(F.min("txn").alias("_lo"), F.max("txn").alias("_hi"))
+    placed = records.join(bounds, F.lit(True)).withColumn("_b", F.expr(f"(txn - _lo) * {buckets} div (_hi - _lo + 1)"))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    base = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("txn", "page_no"))
+    return placed.withColumn("_i", inside).join(base, "_b").select("page_no", "txn", (F.col("_base") + F.col("_i")).alias("lsn"))
+
+
 def evictions(pages: DataFrame, budget: int, buckets: int = 1024) -> DataFrame:
     """Pages to evict, coldest first among the durable ones, until the rest fits ``budget`` bytes.
 

@@ -18,11 +18,12 @@ _GOOD = f"{LOG}, good as (select * from log l where lsn < coalesce((select min(l
 
 @query("select o_orderkey page_no, o_custkey txn, row_number() over (order by o_custkey, o_orderkey)::bigint lsn from orders where o_custkey <= 100")
 def wal_lsn(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 100").select(F.col("o_orderkey").alias("page_no"), F.col("o_custkey").alias("txn"))
-    sizes = o.groupBy("txn").agg(F.count("*").alias("_n"))
-    base = sizes.select("txn", (F.sum("_n").over(Window.orderBy("txn")) - F.col("_n")).alias("_b"))
-    inside = F.row_number().over(Window.partitionBy("txn").orderBy("page_no"))
-    return o.withColumn("_i", inside).join(base, "txn").select("page_no", "txn", (F.col("_b") + F.col("_i")).alias("lsn"))
+    return logs.numbered(table(spark, sf_dir, "orders").where("o_custkey <= 100").select(F.col("o_orderkey").alias("page_no"), F.col("o_custkey").alias("txn")))
+
+
+@query("select o_orderkey page_no, o_custkey txn, row_number() over (order by o_custkey, o_orderkey)::bigint lsn from orders")
+def wal_lsn_whole(spark, sf_dir):
+    return logs.numbered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_no"), F.col("o_custkey").alias("txn")))
 
 
 @query(f"with {_TXN} select txn, count(*) filter (not is_commit) writes, min(lsn) first_lsn, max(lsn) last_lsn from t group by txn")
@@ -98,6 +99,13 @@ def batch_fetch(spark, sf_dir):
     return logs.batch(ids, store)
 
 
+@query("select event_id pos, user_id page, sha256(d.text) page_id from events left join documents d on d.doc_id = user_id")
+def batch_fetch_whole(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("page"))
+    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.sha2("text", 256).alias("page_id"))
+    return logs.batch(ids, store)
+
+
 @query(f"with {TIERS}, r as (select *, (select sum(size) from tiers) total, coalesce(sum(size) over (order by touched, page rows between unbounded preceding and 1 preceding), 0) colder from tiers where durable) select page, size, touched from r where total - colder > 40000")
 def evict_lru(spark, sf_dir):
     return logs.evictions(tiers(spark, sf_dir), 40_000)

@@ -158,6 +158,13 @@ def lookup_pages(spark, sf_dir):
     return versions.lookup(chain, pages)
 
 
+@query(f"with {LOG}, w as (select *, row_number() over (partition by page_no order by lsn desc) r from log where not is_commit) select distinct c_custkey page_no, page_id from customer left join (select * from w where r = 1) w on c_custkey = page_no")
+def lookup_pages_whole(spark, sf_dir):
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_no"))
+    chain = log(spark, sf_dir).where("not is_commit").select("page_no", "page_id", (-F.col("lsn")).alias("hop"))
+    return versions.lookup(chain, pages)
+
+
 _STAGED = f"with {LOG}, m as (select max(lsn) // 2 h from log), w as (select *, row_number() over (partition by page_no order by lsn desc) r from log, m where not is_commit and lsn <= h), base as (select page_no, page_id from w where r = 1 and page_id is not null), s as (select page_no, arg_max(struct_pack(p := page_id), lsn).p page_id from log, m where not is_commit and lsn > h group by 1), e as (select s.page_no, s.page_id, case when s.page_id is not distinct from base.page_id then 'none' when base.page_id is null then 'add' when s.page_id is null then 'remove' else 'change' end effect from s left join base using (page_no))"
 
 

@@ -41,3 +41,8 @@ def test_same_rows(spark, duck, name):
 def test_sealing(spark):
     assert queries.QUERIES["seal_open_roundtrip"](spark, SRC).where("not same or same is null").isEmpty()
     assert queries.QUERIES["relocation_fails"](spark, SRC).where("not refused").isEmpty()
+
+
+@pytest.mark.parametrize("name, source", [("wal_lsn_whole", "orders"), ("batch_fetch_whole", "events"), ("lookup_pages_whole", "customer")])
+def test_whole_tables(spark, name, source):
+    assert queries.QUERIES[name](spark, SRC).count() == spark.read.parquet(f"{SRC}/{source}.parquet").count()
