@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: What a null in a level's column is called.
 NONE = "(none)"
@@ -31,6 +31,8 @@ def tokens_of(text: Column) -> Column:
 
 def weight_of(column: Column, weights: Mapping[str, int]) -> Column:
     """Weights by name; ``*`` is that of any other name (1 without it)."""
+    if min(weights.values(), default=0) < 0:
+        raise ValueError("weights can't be negative")
     out = F.lit(weights.get("*", 1))
     for name, weight in weights.items():
         if name != "*":
@@ -39,7 +41,11 @@ def weight_of(column: Column, weights: Mapping[str, int]) -> Column:
 
 
 def allocate(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: int, epochs: int) -> DataFrame:
-    """``leaves`` (levels and ``supply``, unique) with ``tokens``: each leaf's share of the budget."""
+    """``leaves`` (levels and ``supply``, unique) with ``tokens``: each leaf's share of the budget.
+
+    A node of weight 0 gets what is left when all siblings with a weight are full, in equal
+    parts with others of weight 0.
+    """
     caps = leaves.withColumn("_cap", F.col("supply") * epochs)
     whole = caps.groupBy().agg(F.least(F.coalesce(F.sum("_cap"), F.lit(0)), F.lit(budget)).cast("long").alias("_a"))
     given = whole.withColumn("_root", F.lit(0))
@@ -47,7 +53,10 @@ def allocate(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Map
         path = ["_root", *levels[: k + 1]]
         nodes = caps.withColumn("_root", F.lit(0)).groupBy(*path).agg(F.sum("_cap").alias("_cap"))
         nodes = nodes.withColumn("_w", weight_of(F.col(level), weights.get(level, {}))).join(given, path[:-1])
-        parent = Window.partitionBy(*path[:-1])
+        nodes = nodes.withColumns({"_z": F.col("_w") == 0, "_w": F.greatest("_w", F.lit(1).cast("long"))})
+        weighty = F.coalesce(F.sum(F.when(~F.col("_z"), F.col("_cap"))).over(Window.partitionBy(*path[:-1])), F.lit(0))
+        nodes = nodes.withColumn("_a", F.when(F.col("_z"), F.greatest(F.col("_a") - weighty, F.lit(0))).otherwise(F.col("_a")).cast("long"))
+        parent = Window.partitionBy(*path[:-1], "_z")
         order = parent.orderBy(F.col("_cap").cast("double") / F.col("_w"), level)
         nodes = nodes.withColumns(
             {
@@ -100,14 +109,14 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     Null nodes are called ``(none)``; rows of the same doc_id in a leaf stand or fall
     together. A document of no tokens is drawn if it stands before the end of the prefix.
     """
-    names = [f"_l_{k}" for k in levels]
-    own = {f"_l_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in levels.items()}
+    *names, whole, cutoff = fresh(docs, *[f"_l_{k}" for k in levels], "_whole", "_cutoff")
+    own = {n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, levels.values(), strict=True)}
     rows = docs.select([c for c in docs.columns if c not in ("n_tokens", "repeats")]).withColumns(own | {"n_tokens": tokens_of(F.col(text))})
     slim = materialize(rows.select(*names, "doc_id", "n_tokens"))
-    found = plan(slim, names, {f"_l_{k}": w for k, w in weights.items()}, budget, epochs, seed)
-    found = found.select(*names, F.col("whole").alias("_whole"), F.col("cutoff").alias("_cutoff"))
-    out = rows.join(found, names).withColumn("repeats", F.col("_whole") + F.coalesce((_order(seed, F.col("_whole"), F.col("doc_id")) <= F.col("_cutoff")).cast("long"), F.lit(0)))
-    return out.drop(*names, "_whole", "_cutoff")
+    found = plan(slim, names, {n: weights.get(k, {}) for n, k in zip(names, levels, strict=True)}, budget, epochs, seed)
+    found = found.select(*names, F.col("whole").alias(whole), F.col("cutoff").alias(cutoff))
+    out = rows.join(found, names).withColumn("repeats", F.col(whole) + F.coalesce((_order(seed, F.col(whole), F.col("doc_id")) <= F.col(cutoff)).cast("long"), F.lit(0)))
+    return out.drop(*names, whole, cutoff)
 
 
 #: The tree of the query and the pipeline.
