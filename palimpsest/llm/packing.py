@@ -26,8 +26,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 CAPACITY = 2048
 #: Bytes of text in a shard, on average: what one task packs at a time.
-SHARD_BYTES = 16 << 20
-_PIECE = 1 << 20
+SHARD_BYTES = 1 << 20
+#: Longer texts are encoded in pieces of at least so many characters.
+_PIECE = 1 << 18
 
 SCHEMA = "shard int, row int, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id long, start long, length int>>"
 
@@ -41,14 +42,20 @@ def _encoding(ranks: bytes, pattern: str):
 
 
 def encode(encoding, text: str) -> list[int]:
-    """All ids of a text. A long one is encoded in pieces that end before white space after another character, where the pattern always cuts."""
+    """All ids of a text.
+
+    A long one is encoded in pieces that end before white space after another character,
+    where the pattern always cuts. Within a word, or white space, of over ``_PIECE``
+    characters there is no such place: it is cut anyway, without loss, because the tokenizer
+    can't take runs of a million.
+    """
     if len(text) <= _PIECE:
         return encoding.encode_ordinary(text)
     out: list[int] = []
     at = 0
     while at < len(text):
         end = at + _PIECE
-        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
+        while end < min(len(text), at + 2 * _PIECE) and not (text[end].isspace() and not text[end - 1].isspace()):
             end += 1
         out += encoding.encode_ordinary(text[at:end])
         at = end
@@ -56,7 +63,7 @@ def encode(encoding, text: str) -> list[int]:
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int | None = END_OF_TEXT, text: str = "text") -> DataFrame:
-    """(doc_id, h, ids) for the rows with text: ids as 16-bit integers, closed by ``end``; ``h`` a hash of id and text."""
+    """(doc_id, h, ids) for the rows with text: ids as 16-bit integers, closed by ``end``; ``h`` a hash of id, text and the row's place."""
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())  # the vocabulary, about a megabyte
 
@@ -67,7 +74,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "h", "ids"])
 
     t = F.col(text)
-    rows = docs.where(t.isNotNull() & (t != "")).select("doc_id", F.xxhash64("doc_id", t).alias("h"), t.alias("_t"))
+    rows = docs.where(t.isNotNull() & (t != "")).select("doc_id", F.xxhash64("doc_id", t, F.monotonically_increasing_id()).alias("h"), t.alias("_t"))
     return rows.mapInArrow(run, "doc_id long, h long, ids binary")
 
 
@@ -173,7 +180,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     ``ids`` holds ``capacity`` 16-bit ids, filled up with ``end`` after ``n_tokens``;
     ``cu_seqlens`` starts with 0 and ends with ``n_tokens``; ``resets`` are the places where
     a segment, and its positions, start. ``segments`` says which tokens of which document
-    each is. Null and empty texts give no tokens; repeated rows are packed each.
+    each is. Null and empty texts give no tokens; repeated rows are packed each, and dealt
+    out like any others (which shard a row goes to depends on its place in its file, too).
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, packing
@@ -46,6 +47,19 @@ def test_budget_goes_to_siblings_before_ancestors(spark):
         assert sum(found.values()) <= min(budget, sum(caps.values()))
 
 
+def test_weights_of_zero(spark):
+    leaves = spark.createDataFrame([("a", "x", 100), ("b", "x", 50), ("c", "x", 50), ("d", "x", 400)], "d string, s string, supply long")
+    weights = {"d": {"a": 2, "d": 1, "*": 0}}
+    given = lambda budget: {r.d: r.tokens for r in mixing.allocate(leaves, ["d", "s"], weights, budget, 1).collect()}
+    assert given(90) == {"a": 60, "b": 0, "c": 0, "d": 30}
+    assert given(500) == {"a": 100, "b": 0, "c": 0, "d": 400}
+    assert given(540) == {"a": 100, "b": 20, "c": 20, "d": 400}
+    assert given(9999) == {"a": 100, "b": 50, "c": 50, "d": 400}
+    assert {r.tokens for r in mixing.allocate(leaves, ["d", "s"], {"d": {"*": 0}}, 80, 1).collect()} == {20}
+    with pytest.raises(ValueError):
+        mixing.allocate(leaves, ["d", "s"], {"d": {"a": -1}}, 80, 1)
+
+
 def test_whole_epochs_and_prefix(docs_of):
     rows = [(i, "x" * (4 * (1 + i % 9)), "en", "s") for i in range(300)]
     supply = sum(1 + i % 9 for i in range(300))
@@ -110,6 +124,20 @@ def test_packing_is_lossless(spark, docs_of, prose):
     assert len({r.shard for r in rows}) > 1
 
 
+def test_long_runs_of_one_kind(docs_of):
+    with open(packing.VOCABULARY, "rb") as file:
+        encoding = packing._encoding(file.read(), packing.PATTERN)
+    for text in ("\n" * 2_000_000, " " * 1_200_000 + "x", "w" * 1_500_000, "a b" + "\t " * 700_000):
+        assert encoding.decode(packing.encode(encoding, text)) == text
+
+
+def test_copies_are_dealt_out(docs_of, prose):
+    """A third of the rows the same, without ids: no shard gets them all."""
+    rows = [(None, prose(1, 200)) for _ in range(400)] + [(i, prose(i, 200)) for i in range(200)]
+    found = packing.pack(docs_of(rows), capacity=256, shard_bytes=40_000).groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(found) > 10 and max(r.n for r in found) < 3 * sum(r.n for r in found) / len(found)
+
+
 def test_pieces_of_a_long_text_give_the_same_ids():
     with open(packing.VOCABULARY, "rb") as file:
         encoding = packing._encoding(file.read(), packing.PATTERN)
