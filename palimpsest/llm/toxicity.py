@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charblocks import Block, blocks
-from .common import bounded_sample, crc_mod, fit_in_task
+from .common import bounded_sample, crc_mod, fit_in_task, fresh, within
 
 BITS = 18
 #: A word is hashed whole and by its first four and five letters.
@@ -140,11 +140,12 @@ class Model:
         return -np.expm1(-quiet), found
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, epochs: int = 120, rate: float = 0.2, decay: float = 3e-4, least: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, epochs: int = 120, rate: float = 0.2, decay: float = 3e-4, least: int = 3, longest: int = 200_000, most: int = 50_000_000) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows with nulls are left out.
 
-    At most ``max_docs`` documents of each label are read, the first by a hash of their id.
-    Features of fewer than ``least`` of them are not used. Without both labels the model
+    At most ``max_docs`` documents of each label are read, the first by a hash of their id,
+    no text longer than ``longest`` and at most ``most`` characters in all. Each row of a
+    repeated doc_id counts, with each of its labels. Features of fewer than ``least`` of them are not used. Without both labels the model
     finds nothing toxic.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, epochs: int
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
     sample = bounded_sample(sample.select("text", "y", "doc_id"), 2 * max_docs, F.col("doc_id"), F.col("text"), F.col("y"))
     fit = lambda batches: _fit(batches, epochs, rate, decay, least)
+    sample = within(sample, "text", longest, most, F.col("doc_id"), F.col("text"), F.col("y"))
     row = fit_in_task(sample.select("text", "y"), fit, "weights binary, bias double").first()  # one row of 2**BITS weights
     if row is None:  # an empty sample
         return Model(np.zeros(1 << BITS, np.float32), UNTRAINED)
@@ -173,8 +175,9 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(found, kind)], ["score", "offending"])
 
-    rest = docs.select([c for c in docs.columns if c not in ("score", "predicted", "offending", "_s")])
-    return rest.withColumn("_s", score(F.col(text))).select("*", "_s.score", (F.col("_s.score") >= 0.5).cast("int").alias("predicted"), "_s.offending").drop("_s")
+    [s] = fresh(docs, "_s")
+    rest = docs.withColumn(s, score(F.col(text))).drop("score", "predicted", "offending")
+    return rest.select("*", f"{s}.score", (F.col(f"{s}.score") >= 0.5).cast("int").alias("predicted"), f"{s}.offending").drop(s)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

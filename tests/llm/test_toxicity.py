@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 
@@ -38,6 +39,26 @@ def test_noisy_or_of_sentences():
     assert np.allclose(score, [1 - (1 - p) ** 3, p, 0, 0, 0])
 
 
+def test_scores_against_brute_force():
+    """Sentence by sentence and word by word: the sum of the weights of a word and its prefixes, noisy-or over sentences."""
+    rng = np.random.default_rng(1)
+    weights = rng.random(1 << toxicity.BITS).astype(np.float32)
+    model = toxicity.Model(weights, -9.0)
+    texts = ["One two two vexwort. A snarkel, grubling!\nagain again é", "abc", "", None, "x. y. z."]
+    score, _ = model.score(texts)
+    for text, got in zip(texts, score, strict=True):
+        quiet = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            w = re.findall(r"[^\W\d_]+", sentence)
+            w = [x for i, x in enumerate(w) if not i or w[i - 1] != x]
+            z = -9.0
+            for x in w:
+                found = toxicity.words(next(toxicity.blocks([x])))[1]
+                z += sum(float(weights[f[0]]) for f in found)
+            quiet *= 1 - 1 / (1 + math.exp(-z)) if w else 1
+        assert abs(got - (1 - quiet)) < 1e-6
+
+
 def test_a_long_text_is_scored_whole(spark):
     weights = np.zeros(1 << toxicity.BITS, np.float32)
     model = toxicity.Model(weights, -20.0)
