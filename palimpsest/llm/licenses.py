@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 Each rule is a regex with a label, a priority and a keyword. A text is lower-cased and
-searched for the keywords first; only the rules of keywords that it contains run. A
-detection inside the span of one with a higher (or equal, but longer) priority is
+searched for the keywords first; only the rules of keywords that it contains run. A space
+in a rule stands for any white space, and comment marks after it, so notices that are
+wrapped or commented out are found as well. A detection inside the span of one with a higher (or equal, but longer) priority is
 suppressed. Apart from that the base phrases are found at places of consecutive words.
 """
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -86,32 +89,40 @@ LICENSES = [
 #: Rules that belong to no one license: label, priority, keyword, pattern, confidence.
 #: A keyword is text that every match holds; of several one must be there.
 GENERAL = [
-    ("gpl", 30, "general public licen", r"(?:gnu )?general public licen[cs]e", 0.8),
+    ("gpl", 30, "licen", r"(?:gnu )?general public licen[cs]e", 0.8),
     ("gpl", 20, "gpl", r"\bgpl\b", 0.5),
     ("bsd", 30, "bsd", r"\bbsd licen[cs]e", 0.7),
-    ("cc", 30, "creative commons", r"creative commons(?: licen[cs]e)?", 0.6),
-    ("public-domain", 30, "public domain", r"in the public domain|public domain work", 0.6),
-    ("reserved", 30, "rights reserved", r"(?:all|some|no) rights reserved", 0.6),
+    ("cc", 30, "creative", r"creative commons(?: licen[cs]e)?", 0.6),
+    ("public-domain", 30, "domain", r"in the public domain|public domain work", 0.6),
+    ("apache", 30, "apache", r"apache licen[cs]e", 0.6),
+    ("reserved", 30, "reserved", r"(?:all|some|no) rights reserved", 0.6),
     ("proprietary", 35, "proprietary", r"proprietary and confidential|proprietary (?:software|licen[cs]e)", 0.8),
-    ("proprietary", 35, "permission", r"may not be (?:reproduced|distributed|copied|published)[^.\n]{0,80}without (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.8),
+    ("proprietary", 35, "permission", r"may not be (?:reproduced|distributed|copied|published)[^.]{0,80}without (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.8),
     ("copyright", 10, "copyright", r"copyright(?: ?\(c\)| ?©)? ?(?:19|20)\d\d", 0.4),
     ("copyright", 10, "©", r"© ?(?:19|20)\d\d", 0.4),
-    ("mit", 60, "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0.95),
-    ("isc", 60, "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software", 0.9),
-    ("bsd", 60, "redistribution and use", r"redistribution and use in source and binary forms", 0.9),
+    ("mit", 60, "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0.95),
+    ("isc", 60, "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software", 0.9),
+    ("bsd", 60, "redistribution", r"redistribution and use in source and binary forms", 0.9),
     ("zlib", 60, "as-is", r"this software is provided 'as-is', without any express or implied warranty", 0.9),
     ("unlicense", 60, "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
-    ("gpl", 60, "free software", r"this (?:program|library|file) is free software[;:,] you can redistribute it", 0.9),
-    ("apache-2.0", 60, "apache license", r"you may not use this file except in compliance with the licen[cs]e", 0.8),
+    ("gpl", 60, "redistribute", r"this (?:program|library|file) is free software[;:,] you can redistribute it", 0.9),
+    ("apache-2.0", 60, "compliance", r"you may not use this file except in compliance with the licen[cs]e", 0.8),
     ("unknown-license", 5, "licen", r"licen[cs]ed under (?:the )?(?:terms of )?[^\n.]{3,60}", 0.3),
 ]
 
 
-_BARE = {"bsd": ("bsd",), "gpl": ("gpl",), "cc0": ("cc0",), "cc[ -]by": ("cc by", "cc-by"), "creative commons": ("creative commons",), "public domain": ("public domain",), "unlicense": ("unlicense",), "rail": ("openrail", "open rail")}
+#: Keywords (one word, as a wrapped notice has them) of names that have no "licen" in them.
+_BARE = {"bsd": "bsd", "gpl": "gpl", "cc0": "cc0", "cc[ -]by": "cc", "creative commons": "creative", "public domain": "domain", "unlicense": "unlicense", "rail": "rail"}
+_GAP = r"(?:\s[\s*#/;%>!|-]*)"
+
+
+def _keyword(name: str) -> str:
+    return next((word for part, word in _BARE.items() if part in name), "licen")
 
 
-def _keywords(name: str) -> tuple[str, ...]:
-    return next((words for part, words in _BARE.items() if part in name), ("licen",))
+def _wrapped(pattern: str) -> re.Pattern:
+    """The regex with its spaces (outside of sets) taking wrapped and commented lines."""
+    return re.compile(re.sub(r"\[[^\]]*\]| ", lambda m: _GAP if m[0] == " " else m[0], pattern))
 
 
 @functools.cache
@@ -119,12 +130,13 @@ def rules() -> list[tuple[str, int, tuple[str, ...], re.Pattern, float]]:
     """All rules: tag, address and grant for each license, one for each of its names, and the general ones, the most specific with the highest priority."""
     out = []
     for label, tag, names, address in LICENSES:
-        out.append((label, 90, ("spdx",), re.compile(rf"spdx-license-identifier:\s*(?:{tag})(?![\w.-])"), 1.0))
-        out.append((label, 80, ("://",), re.compile(rf"https?://(?:www\.)?(?:{address})\S*"), 0.95))
-        out.append((label, 70, ("d under ", "available under "), re.compile(rf"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{names})(?![\w-])"), 0.95))
-        for name in re.split(r"\|(?![^(]*\))", names):
-            out.append((label, 50, _keywords(name), re.compile(rf"(?<![\w-])(?:{name})(?![\w-])"), 0.85))
-    return out + [(label, priority, (keyword,), re.compile(pattern), confidence) for label, priority, keyword, pattern, confidence in GENERAL]
+        out.append((label, 90, ("spdx",), _wrapped(rf"spdx-license-identifier:\s*(?:{tag})(?![\w.-])"), 1.0))
+        out.append((label, 80, ("://",), _wrapped(rf"https?://(?:www\.)?(?:{address})\S*"), 0.95))
+        each = re.split(r"\|(?![^(]*\))", names)
+        out.append((label, 70, tuple(sorted({_keyword(name) for name in each})), _wrapped(rf"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{names})(?![\w-])"), 0.95))
+        for name in each:
+            out.append((label, 50, (_keyword(name),), _wrapped(rf"(?<![\w-])(?:{name})(?![\w-])"), 0.85))
+    return out + [(label, priority, (keyword,), _wrapped(pattern), confidence) for label, priority, keyword, pattern, confidence in GENERAL]
 
 
 @functools.cache
@@ -207,8 +219,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(column: pa.Array) -> pa.Array:
         return pa.array([examine(t or "") for t in column.to_pylist()], _KIND)
 
-    rest = docs.select([c for c in docs.columns if c not in (*_NAMES, "_l")])
-    return rest.withColumn("_l", run(F.col(text))).select("*", "_l.*").drop("_l")
+    [x] = fresh(docs, "_l")
+    return docs.withColumn(x, run(F.col(text))).drop(*_NAMES).select("*", f"{x}.*").drop(x)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
