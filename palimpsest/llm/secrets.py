@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, let, materialize
+from .common import bounded_sample, fresh, let, materialize
 
 #: Kind, pattern, group whose length counts, least length of it.
 KINDS = [
@@ -31,39 +31,61 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least mean log-likelihood ratio of a transition.
 THRESHOLD = 0.5
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+#: Beyond any place in a text.
+_FAR = 1 << 60
 
 
-def running(values: Column, block: int = 256) -> Column:
-    """Running sums of an array. Blocks keep the copying below the square of its length."""
+def running(values: Column, join=lambda a, x: a + x, start: int = 0, block: int = 256) -> Column:
+    """Running sums (or ``join``, from ``start``) of an array. Blocks keep the copying below the square of its length."""
+    zero = F.lit(start).cast("bigint")
+
     def plain(v: Column) -> Column:
-        return F.aggregate(v, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)).cast("bigint") + x)))
+        return F.aggregate(v, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(join(F.coalesce(F.get(a, F.size(a) - 1), zero), x))))
 
     def blocked(v: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(block)), lambda b: F.slice(v, b, block))
 
         def shifted(p: Column) -> Column:
-            sums = plain(F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y)))
-            return let(sums, lambda s: F.flatten(F.transform(p, lambda x, i: F.transform(plain(x), lambda y: y + F.coalesce(F.get(s, i - 1), F.lit(0).cast("bigint"))))))
+            sums = plain(F.transform(p, lambda x: F.aggregate(x, zero, join)))
+            return let(sums, lambda s: F.flatten(F.transform(p, lambda x, i: F.transform(plain(x), lambda y: join(F.coalesce(F.get(s, i - 1), zero), y)))))
 
         return let(parts, shifted)
 
     return F.when(F.size(values) == 0, values).otherwise(blocked(values))
 
 
+def places(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches of ``pattern``: array of (s, m), where they start and what they are."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
+
+    def placed(found: Column) -> Column:
+        # end of match i: the gaps and matches up to it
+        ends = running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.length(m) + g))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("s"), m.alias("m")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
 def spans(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` with at least ``least`` characters in ``group``, as ``_SPAN``."""
-    sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
     judged = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
+    both = F.zip_with(places(text, pattern), judged, lambda x, j: F.struct(x["s"].alias("s"), x["m"].alias("m"), j.alias("j")))
+    good = F.filter(both, lambda x: x["j"])
+    return F.transform(good, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"))).cast(_SPAN)
 
-    def placed(sizes: Column) -> Column:
-        # end of match i: the gaps and matches up to it
-        ends = running(F.zip_with(sizes, F.slice(gaps, 1, F.size(sizes)), lambda s, g: s + g))
-        both = F.arrays_zip(ends.alias("e"), sizes.alias("s"), judged.alias("j"))
-        good = F.filter(both, lambda x: x["j"])
-        return F.transform(good, lambda x: F.struct((x["e"] - x["s"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
-    return let(sized, placed).cast(_SPAN)
+def apart(runs: Column, known: Column) -> Column:
+    """The ``runs`` (array of (s, m)) that overlap none of the spans ``known``, in one pass over both in order."""
+    one = F.transform(known, lambda b: F.struct(b["start"].alias("s"), F.lit(0).alias("k"), b["end"].alias("e"), F.lit("").alias("m")))
+    two = F.transform(runs, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("k"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))
+
+    def swept(v: Column) -> Column:
+        reach = running(F.transform(v, lambda x: F.when(x["k"] == 0, x["e"]).otherwise(F.lit(0).cast("bigint"))), lambda a, x: F.greatest(a, x))
+        ahead = F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["k"] == 0, x["s"]).otherwise(F.lit(_FAR).cast("bigint")))), lambda a, x: F.least(a, x), _FAR))
+        free = F.zip_with(F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("r"), a.alias("a"))), v, lambda x, y: F.struct(((y["k"] == 1) & (x["r"] <= y["s"]) & (x["a"] >= y["e"])).alias("free"), y.alias("y")))
+        return F.transform(F.filter(free, lambda x: x["free"]), lambda x: F.struct(x["y"]["s"].alias("s"), x["y"]["m"].alias("m")))
+
+    return F.when(F.size(known) == 0, runs).otherwise(let(F.array_sort(F.concat(one, two)), swept))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -134,19 +156,19 @@ def scan(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     ``THRESHOLD`` and that overlap no span of the fixed patterns. A null text is empty.
     """
     names = [k for k, *_ in KINDS]
-    t = F.col("_t")
-    out = docs.select([c for c in docs.columns if c not in (*names, "markov", "_t")] + [F.coalesce(F.col(text), F.lit("")).alias("_t")])
-    out = out.withColumns(base_spans(t))
+    [own] = fresh(docs, "_t")
+    t = F.col(own)
+    out = docs.withColumn(own, F.coalesce(F.col(text), F.lit(""))).drop("markov").withColumns(base_spans(t))
     scores = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     index = F.split(F.lit(",".join(str(ALPHABET.find(chr(i)) + 1) for i in range(128))), ",").cast("array<int>")
 
     def added() -> Column:
-        runs = spans(t, LONG_RUN, 0, LEAST, "markov", len(KINDS))
         known = F.concat(*[F.col(k) for k in names])
-        ratio = lambda x: likelihood_ratio(F.substring(t, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), scores, index)
-        return let(known, lambda k: F.filter(runs, lambda x: ~F.exists(k, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x) >= THRESHOLD)))
+        runs = let(known, lambda k: apart(places(t, LONG_RUN), k))
+        likely = F.filter(runs, lambda x: likelihood_ratio(x["m"], scores, index) >= THRESHOLD)
+        return F.transform(likely, lambda x: F.struct(x["s"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("markov").alias("kind"), (x["s"] + F.length(x["m"])).alias("end"))).cast(_SPAN)
 
-    return out.withColumn("markov", F.when(t.rlike(LONG_RUN), added()).otherwise(F.array().cast(_SPAN))).drop("_t")
+    return out.withColumn("markov", F.when(t.rlike(LONG_RUN), added()).otherwise(F.array().cast(_SPAN))).drop(own)
 
 
 def listed(found: Column) -> Column:

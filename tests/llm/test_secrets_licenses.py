@@ -49,6 +49,22 @@ def test_train_without_rows(docs_of):
     assert len(table) == (len(secrets.ALPHABET) + 1) ** 2 and secrets.scan(docs_of([]), table).count() == 0
 
 
+def test_runs_apart_from_spans(docs_of):
+    table = [1.0] * (len(secrets.ALPHABET) + 1) ** 2
+    texts = TEXTS + ["password=aaaaaaaa " + "b" * 20 + " x" + "c" * 20 + "=token: dddddddd", "f" * 20 + " " + "g" * 20 + "0123456789abcdef0123456789 " * 3]
+    for r in secrets.scan(docs_of(list(enumerate(texts))), table).collect():
+        known = base(r.text)
+        want = [(m.start(), m.end()) for m in re.finditer(secrets.LONG_RUN, r.text or "") if not any(s < m.end() and m.start() < e for s, _, _, e in known)]
+        assert [(x.start, x.end) for x in r.markov] == want
+
+
+def test_many_runs_in_one_text(docs_of):
+    """A text of 100,000 runs and 20,000 spans takes time in proportion."""
+    text = " ".join(f"run{i:013d} " + ("token=abcdefgh" if i % 5 == 0 else "") for i in range(100_000))
+    r = secrets.scan(docs_of([(1, text)]), [1.0] * (len(secrets.ALPHABET) + 1) ** 2).selectExpr("size(assign) a", "size(markov) m").first()
+    assert (r.a, r.m) == (20_000, 100_000)
+
+
 def test_running_sums(spark):
     from pyspark.sql import functions as F
 
@@ -83,6 +99,51 @@ def test_rules_priority_and_containment():
     assert label(NOTES[6]) == []
 
 
+def sample(pattern, rng):
+    """A text that a regex matches, made from its syntax tree."""
+    def made(part):
+        out = ""
+        for op, arg in part:
+            op = str(op)
+            if op in ("LITERAL", "NOT_LITERAL"):
+                out += chr(arg) if op == "LITERAL" else "x"
+            elif op == "IN":
+                kinds = [(str(a), b) for a, b in arg]
+                if kinds[0][0] == "NEGATE":
+                    out += "x"
+                else:
+                    kind, value = rng.choice(kinds)
+                    out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(value[0]), "CATEGORY": lambda: {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "7", "CATEGORY_WORD": "w", "CATEGORY_NOT_SPACE": "x"}[str(value)]}[kind]()
+            elif op == "ANY":
+                out += "x"
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                out += "".join(made(inner) for _ in range(rng.randint(low, min(high, low + 2))))
+            elif op == "SUBPATTERN":
+                out += made(arg[3])
+            elif op == "BRANCH":
+                out += made(rng.choice(arg[1]))
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT", "AT"), op
+        return out
+
+    return made(re._parser.parse(pattern))
+
+
+def test_the_gate_hides_no_match():
+    """Every rule: of a hundred texts that it matches each has one of its keywords."""
+    rng = random.Random(1)
+    for label, _, words, pattern, _ in licenses.rules():
+        texts = [t for t in (sample(pattern.pattern, rng) for _ in range(100)) if pattern.search(t)]
+        assert len(texts) >= 30, (label, pattern.pattern)
+        assert all(any(w in t for w in words) for t in texts), (label, words, pattern.pattern)
+
+
+def test_wrapped_and_commented_notices():
+    for text, label in (("# This software is provided 'as-is', without any express or implied\n# warranty.", "zlib"), ("mozilla public\nlicense version 2.0", "mpl-2.0"), (" * Licensed under the Apache-2.0 license; you may not use this file except\n *   in compliance with the License.", "apache-2.0"), ("distributed under the\n// apache license", "apache"), ("-- permission is hereby granted, free of\n-- charge, to any person obtaining a\n-- copy", "mit")):
+        assert label in {x[2] for x in licenses.detections(text.lower())}, text
+
+
 def test_every_keyword_is_in_every_match():
     """A rule's keyword must not hide a match: names found without the gate are found with it."""
     for name in ("the mit license", "apache license, version 2.0", "gplv3", "zero-clause bsd", "two-clause bsd", "cc0 1.0 universal", "cc-by-sa", "cc by 4.0", "creative commons zero", "released into the public domain", "the unlicense", "openrail-m", "open rail", "postgresql licence"):
