@@ -85,15 +85,47 @@ def test_blocks_guarantee_the_radius(spark):
 
     rng = random.Random(4)
     rows = []
-    for _ in range(200):
-        a = rng.getrandbits(63)
-        b = a
-        for bit in rng.sample(range(63), rng.randint(0, decontamination.RADIUS)):
-            b ^= 1 << bit
-        rows.append((a, b))
-    df = spark.createDataFrame(rows, "a long, b long")
-    cut = df.select(F.arrays_overlap(decontamination.blocks(F.col("a")), decontamination.blocks(F.col("b"))).alias("meet"))
-    assert cut.where("not meet").count() == 0
+    for n in [*range(decontamination.RADIUS + 1)] * 6:
+        x = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(2)]
+        y = list(x)
+        for bit in rng.sample(range(128), n):
+            y[bit // 64] ^= -(1 << 63) if bit % 64 == 63 else 1 << bit % 64
+        rows.append((*x, *y, n))
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long, n int")
+    one, two = (F.col("a"), F.col("b")), (F.col("c"), F.col("d"))
+    assert df.where(decontamination.distance(one, two) != F.col("n")).count() == 0
+    meet = F.arrays_overlap(decontamination.blocks(one), decontamination.blocks(two, decontamination.NEAR))
+    assert df.where(~meet).count() == 0
+    far = spark.range(300).select(F.xxhash64("id", F.lit(1)).alias("a"), F.xxhash64("id", F.lit(2)).alias("b"), F.xxhash64("id", F.lit(3)).alias("c"), F.xxhash64("id", F.lit(4)).alias("d"))
+    assert far.where(meet).count() < 60  # the index selects: one in nine of unrelated ones
+
+
+def test_fingerprints_against_brute_force(spark, prose):
+    """The SimHash of running sums is that of each window by itself, and pieces don't change the result."""
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(1, prose(1, 30)), (2, prose(2, 41))], "item_id long, text string")
+    cat = decontamination.catalogue(items)
+    x = F.explode("shingles").alias("x")
+    rows = {r["item_id"]: r for r in decontamination.marked(cat, 400).collect()}
+    for i in (1, 2):
+        each = cat.where(F.col("item_id") == i).select(x).select("x.h", F.xxhash64("x.h").alias("g"), "x.w").collect()
+        for half, name in (("h", "f1"), ("g", "f2")):
+            want = sum(1 << b for b in range(64) if 2 * sum(r["w"] for r in each if r[half] >> b & 1) > sum(r["w"] for r in each))
+            assert rows[i][name] % (1 << 64) == want
+
+
+def test_cut_texts_and_pieces(spark, docs_of, prose, monkeypatch):
+    items = [(i, prose(700 + i, 46 + i)) for i in range(4)]
+    docs = []
+    for i, item in items:
+        w = item.split()
+        docs += [(10 * i, " ".join(w[5:]) + prose(i, 60)), (10 * i + 1, prose(i, 60) + " " + " ".join(w[:-5])), (10 * i + 2, " ".join(w[3:-3])), (10 * i + 3, " ".join([item] * 9))]
+    known = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.matches(docs_of(docs), known).collect()))
+    assert len(whole) == 16
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    assert sorted(map(tuple, decontamination.matches(docs_of(docs), known).collect())) == whole
 
 
 def test_odd_rows(spark, docs_of, odd):
