@@ -8,6 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: Python workers hold one batch, its strings and their results at a time.
+ARROW_ROWS = "1000"
+
 
 def session(name: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators are written for; ``conf`` (dots as ``__``) comes on top."""
@@ -18,14 +22,16 @@ def session(name: str = "palimpsest", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        _ROWS: ARROW_ROWS,
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each Spark context."""
+    """Sends this package to the executors, once for each Spark context, and keeps Arrow batches small where the session says nothing about them."""
     context = spark.sparkContext
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, ARROW_ROWS)
     if not getattr(context, "_palimpsest_shipped", False):
         here = Path(__file__).resolve().parent
         copy = Path(tempfile.mkdtemp(prefix="palimpsest-ship-"))
