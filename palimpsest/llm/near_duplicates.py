@@ -3,12 +3,15 @@
 Documents of equal shingle sets become one node first, so copies never form pairs. Each
 node has MinHash samples, banded into buckets, and an odd sketch: a bitmap in which every
 sample flips one bit, so that two sketches differ in few bits only if most samples agree.
-A second odd sketch, of the whole shingle set,
-has at most as many differing bits as the sets have different shingles, so it rules pairs
-out for certain. Within a bucket the most typical member is compared with every other; afterwards members
+A second odd sketch, of the whole shingle set, has at most as many differing bits as the
+sets have different shingles, so it rules pairs out for certain.
+
+Within a bucket the most typical member is compared with every other; afterwards members
 that are still in different components are compared too, so no link between two texts of a
-bucket is missed. Sketches decide which pairs are worth it, full shingle sets decide the
-links.
+bucket is missed. A large bucket in which much is unlinked (a template whose pages fall
+short of the limit) is split for that by rare shingles: two sets of the wanted similarity
+share one of their few rarest, so pages that have only the template in common never meet.
+Sketches decide which pairs are worth it, full shingle sets decide the links.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,13 @@ SKETCH_WORDS = 8
 WHOLE_WORDS = 16
 #: A pair is verified if its sketches' estimate falls short of the limit by at most this: five standard deviations of the sampling and the sketch.
 SLACK = 0.2
-#: Up to so many ids (8 bytes each) are sent to every executor to pick out their texts; beyond that the join shuffles.
+#: A bucket with more members in question is split by their rarest shingles.
+HOT = 256
+#: Counters that tell how rare a shingle is (by hash; what shares one only looks more common).
+SLOTS = 1 << 20
+#: Rows of an Arrow batch that are worked on at a time, and bytes of their text.
+_ROWS, _BYTES = 500, 4 << 20
+#: Up to so many ids (24 bytes each) are sent to every executor to pick out their texts; beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
 _CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -111,37 +121,73 @@ class Sampler:
         return np.packbits(odd).view(np.int64)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch (text in the second column) in slices of few rows and, unless one row is longer, few bytes."""
+    sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64))
+    at = 0
+    while at < len(sizes):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, min(at + _ROWS, int(np.searchsorted(sizes, before + _BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+_LONGS = pa.list_(pa.int64())
+
+
 def _sketched(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
-        for batch in batches:
+        for part in (p for batch in batches for p in _portions(batch)):
             size, key, buckets, sketch, whole = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, n)
+            for text in part.column(1):
+                s = shingle_set(text.as_py(), n)
                 size.append(len(s))
-                if len(s):
-                    samples = sampler.samples(s)
-                    key.append(set_key(s))
-                    buckets.append(sampler.buckets(samples))
-                    sketch.append(sampler.sketch(samples))
-                    whole.append(sampler.whole(s))
-                else:
-                    key.append(None)
-                    buckets.append(None)
-                    sketch.append(None)
-                    whole.append(None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(buckets, longs), pa.array(sketch, longs), pa.array(whole, longs)], ["doc_id", "n_shingles", "key", "buckets", "sketch", "whole"])
+                key.append(set_key(s))
+                samples = sampler.samples(s) if len(s) else None
+                buckets.append(None if samples is None else sampler.buckets(samples))
+                sketch.append(None if samples is None else sampler.sketch(samples))
+                whole.append(None if samples is None else sampler.whole(s))
+            arrays = [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(buckets, _LONGS), pa.array(sketch, _LONGS), pa.array(whole, _LONGS)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "n_shingles", "key", "buckets", "sketch", "whole"])
 
     return run
 
 
 def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _portions(batch)):
+            found = [shingle_set(text.as_py(), n) for text in part.column(1)]
+            # another text of the same doc_id is not the one asked for
+            own = [i for i, (s, node) in enumerate(zip(found, part.column(0).to_pylist(), strict=True)) if set_key(s) == node]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([found[i].view(np.int64) for i in own], _LONGS)], ["node", "set"])
+
+    return run
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """A set's rarest shingles, and how many of them it is looked up by.
+
+    Of two sets with at least ``percent`` similarity the larger one has one of the
+    shingles that the smaller one is looked up by among all of its rarest.
+    """
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]))
+    return shingles[order[: n + percent * n // -100 + 1]], n + 2 * percent * n // -(100 + percent) + 1
+
+
+def _rarest(counts, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text, n) for text in batch.column(1).to_pylist()]
-            keys = [set_key(s) for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "key", "set"])
+            node, n, token, few = [], [], [], []
+            for x, s in zip(batch.column(0), batch.column(1), strict=True):
+                found, lookups = rarest(s.values.to_numpy(zero_copy_only=False).view(np.uint64), counts.value, percent)
+                node += [x.as_py()] * len(found)
+                n += [len(s)] * len(found)
+                token.append(found.view(np.int64))
+                few.append(np.arange(len(found)) < lookups)
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(np.concatenate(token)), pa.array(np.concatenate(few))], ["node", "n", "token", "lookup"])
 
     return run
 
@@ -192,72 +238,123 @@ def components(links: DataFrame) -> DataFrame:
         stars = after
 
 
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text, doc_id) for the nodes in ``wanted`` (node, doc): rows of the document that stands for each."""
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.select(F.col("doc_id").alias("doc"), "text").join(few, "doc").select("node", "text")
+
+
+def _shingles(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, set), once for each node."""
+    return materialize(_texts(wanted, docs).mapInArrow(_sets(n), "node binary, set array<long>").dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the materialised pairs (a, b) of nodes whose full sets have at least ``percent`` similarity."""
-    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(few, "node", "left_semi")
-    # the key tells a node's own sets from other rows with its doc_id that are no smallest ones of their set
-    sets = texts.mapInArrow(_sets(n), "node long, key binary, set array<long>").join(nodes.select("node", "key"), ["node", "key"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["node", "key"]).drop("key"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _shingles(materialize(nodes.select("node", "doc").join(ends, "node", "left_semi")), docs, n)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("t"))
     return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+def _by_rare_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) worth a look among ``members`` (node, component, few): those that share one of their rarest shingles, one of them ``few``, in different components.
 
-    Documents are linked if their sets of ``n``-word shingles have at least ``percent``
-    similarity; ``component_id`` is the smallest doc_id that links lead to, and the document
-    of that id is kept. Documents without words, and rows without a doc_id (kept, null
-    component), are linked with nothing. Rows of the same doc_id are one document.
+    Rareness is counted in ``SLOTS`` counters over the members; every pair of the wanted
+    similarity is found whatever they say.
     """
+    spark = docs.sparkSession
+    sets = _shingles(materialize(nodes.select("node", "doc").join(members, "node", "left_semi")), docs, n)
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
+    counts = np.zeros(SLOTS, np.int64)
+    for r in sets.select(F.explode("set").alias("h")).groupBy(slot.alias("s")).agg(F.count("*").alias("n")).toLocalIterator():
+        counts[r["s"]] = r["n"]  # at most SLOTS rows
+    tokens = sets.mapInArrow(_rarest(spark.sparkContext.broadcast(counts), percent), "node binary, n long, token long, lookup boolean")
+    tokens = materialize(tokens.join(members, "node"))
+    side = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "lookup", "component", "few")])
+    fits = (F.col("lookup_a") & (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))) | (F.col("lookup_b") & (F.col("n_b") <= F.col("n_a")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+    found = side("a").where("few_a").join(side("b"), "token").where(fits & (F.col("component_a") != F.col("component_b")))
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _analyse(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, t, n_shingles, key) for all rows, (node, doc) and (node, component) for the texts: t hashes a text, a node is a set's key."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(docs.mapInArrow(_sketched(n), "doc_id long, n_shingles long, key binary, buckets array<long>, sketch array<long>, whole array<long>"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    rows = materialize(rows.mapInArrow(_sketched(n), "doc_id long, t long, n_shingles long, key binary, buckets array<long>, sketch array<long>, whole array<long>"))
     full = rows.where("key is not null and doc_id is not null")
-    groups = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
-    groups = materialize(groups)
-    nodes = groups.select("node", "key", "n_shingles", "sketch", "whole")
+    nodes = materialize(full.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "buckets", "sketch", "whole")]))
+    left, right = _sides(nodes)
 
-    entries = groups.select("node", F.explode("buckets").alias("bucket"))
+    entries = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(entries.join(sizes, "bucket"))
     # a node whose buckets are large in most bands is near the middle of its family
     typical = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = shared.select("bucket", "node").join(typical, "node")
-    leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("x")).select("bucket", (-F.col("x.m")).alias("lead"))
+    leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x")).select("bucket", F.col("x.node").alias("lead"))
     star = shared.join(leads, "bucket").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    left, right = _sides(nodes)
-    star = star.join(left, "a").join(right, "b").where(_promising(percent)).select("a", "b")
-    star = materialize(star)
+    star = materialize(star.join(left, "a").join(right, "b").where(_promising(percent)).select("a", "b"))
     links = materialize(_verified(star, nodes, docs, n, percent))
     found = components(links)
 
     # what is left: members of a bucket outside the component that most of its members are in, against all others
     placed = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("bucket", (-F.col("x.c")).alias("main"))
-    open_ = materialize(placed.join(main, "bucket"))
-    few = open_.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
-    rest = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main")).join(right, "b")
-    near = few.join(rest, [few.bucket == rest.bucket, F.col("ca") != F.col("cb"), F.col("in_main") | (F.col("a") < F.col("b")), _promising(percent)])
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = materialize(near.join(star, ["a", "b"], "left_anti"))
-    more = materialize(_verified(near, nodes, docs, n, percent))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").select("bucket", F.col("x.component").alias("main"), (F.col("n") > HOT).alias("hot"))
+    open_ = materialize(placed.join(main, "bucket").withColumn("few", F.col("component") != F.col("main")))
+    small = open_.where("not hot")
+    few = small.where("few").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    rest = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "few")
+    near = few.join(rest, "bucket").where((F.col("ca") != F.col("cb")) & (~F.col("few") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = materialize(open_.where("hot").groupBy("node", "component").agg(F.max("few").alias("few")))
+    if not hot.isEmpty():
+        near = near.union(_by_rare_shingles(hot, nodes, docs, n, percent))
+    near = near.distinct().join(left, "a").join(right, "b").where(_promising(percent)).select("a", "b")
+    more = materialize(_verified(materialize(near.join(star, ["a", "b"], "left_anti")), nodes, docs, n, percent))
     if not more.isEmpty():
         found = components(links.union(more))
+    return rows.select("doc_id", "t", "n_shingles", "key"), nodes.select("node", "doc"), found
+
 
-    ids = groups.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked if their sets of ``n``-word shingles have at least ``percent``
+    similarity; ``component_id`` is the smallest doc_id that links lead to, and the document
+    of that id is kept. Documents without words, and rows without a doc_id (kept, null
+    component), are linked with nothing. Rows of the same doc_id are one document: its
+    different texts are linked with each other.
+    """
+    rows, nodes, found = _analyse(docs, n, percent)
+    placed = nodes.join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    ids = rows.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).where("lo <> hi")
+    ids = materialize(rows.select("doc_id", F.col("key").alias("node")).join(ids, "doc_id", "left_semi").join(placed, "node").select("doc_id", "component").distinct())
+    if not ids.isEmpty():
+        firsts = ids.groupBy("doc_id").agg(F.min("component").alias("b"))
+        joined = components(ids.join(firsts, "doc_id").select(F.col("component").alias("a"), "b").where("a <> b"))
+        placed = placed.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_m")), "component", "left").select("node", "doc", F.coalesce("_m", "component").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc").alias("_c"))
+    names = placed.join(smallest, "component").select(F.col("node").alias("key"), "_c")
+    out = rows.select("doc_id", "n_shingles", "key").join(names, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``."""
-    gone = near_duplicates(docs, n, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, with the columns of ``docs``.
+
+    It is the one of the smallest doc_id. Here the texts of one doc_id stand for themselves,
+    so that none goes unless one like it stays; equal rows stay together.
+    """
+    rows, nodes, found = _analyse(docs, n, percent)
+    placed = nodes.join(found, "node")
+    best = placed.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("x")).select("component", F.col("x.doc").alias("_doc"), F.col("x.node").alias("_node"))
+    # within a component only the best text of the best document stays, in a set without links only its first document
+    chosen = nodes.join(placed.join(best, "component").select("node", "_doc", "_node"), "node", "left").select(F.col("node").alias("key"), F.coalesce("_doc", "doc").alias("_doc"), F.coalesce("_node", "node").alias("_node"))
+    gone = rows.where("key is not null and doc_id is not null").join(chosen, "key").where("doc_id <> _doc or key <> _node").select("doc_id", "t").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

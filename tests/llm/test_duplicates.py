@@ -79,6 +79,53 @@ def test_same_id_with_other_text(docs_of, prose):
     assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_a_document_of_two_texts_loses_none(docs_of, prose):
+    a, b = prose(1, 80), prose(2, 80)
+    docs = docs_of([(1, a), (2, a), (2, b), (3, a + " more")])
+    assert [(r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs).orderBy("doc_id").collect()] == [(1, True), (1, False), (1, False), (1, False)]
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.deduplicate(docs).collect()) == sorted([(1, a), (2, b)])
+
+
+def templates(prose, n, common, own):
+    """Pages that have ``common`` words in common and ``own`` of their own."""
+    head = prose(9, common).split()
+    return [" ".join(head + [f"w{i}x{k}" for k in range(own)]) for i in range(n)]
+
+
+def test_hot_buckets_against_brute_force(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    texts = []
+    for own in (8, 9, 10, 12, 16):  # similarities around the limit
+        texts += templates(prose, 14, 78, own)
+    for k in range(4):
+        texts += family(prose, 300 + k, 90, 14, 9)
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of(rows), 4).collect()}
+    assert found == {i: component for i, (_, component) in brute(rows, 4).items()}
+
+
+def test_large_templates_below_the_limit(docs_of, prose, monkeypatch):
+    rows = list(enumerate(templates(prose, 6000, 75, 12)))  # similarity 0.75: 18 million pairs
+    seen = []
+    verified = near_duplicates._verified
+    monkeypatch.setattr(near_duplicates, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    found = near_duplicates.near_duplicates(docs_of([*rows, (6000, rows[17][1] + " end")]), 4).collect()
+    assert {r.doc_id for r in found if not r.kept} == {6000} and sum(seen) < 20_000
+
+
+def test_rarest_shingles_meet():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 5, 64)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 110), replace=False)) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 50 * (len(a) + len(b) - shared):
+            x, lookups = near_duplicates.rarest(a, counts, 50)
+            assert len(np.intersect1d(x[:lookups], near_duplicates.rarest(b, counts, 50)[0]))
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)], "a long, b long").where("a <> b")
     found = {r.node: r.component for r in near_duplicates.components(links).collect()}
