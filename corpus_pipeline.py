@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontamination, mixing, near_duplicates, packing, toxicity
-from palimpsest.llm.common import crc_mod, materialize
+from palimpsest.llm.common import crc_mod, materialize, release, written
 from palimpsest.session import ship
 
 
@@ -55,8 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each but the last written to the shared folder and read again."""
+    """The stages in order over documents, each but the last written to the shared folder and read again.
+
+    What a stage wrote on its way, and its input, go as soon as its output is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = set(written())
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(spark, [path for path in written()[:-1] if path not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
