@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def before(totals: DataFrame, key: str, value: str, name: str, join=F.sum, buckets: int = 1024) -> DataFrame:
+    """``totals`` with ``name``: ``value`` of all rows with a smaller ``key`` (unique), summed up or otherwise ``join``ed; null for the first.
+
+    By way of ``buckets`` equal stretches of the keys, so that no task sees all rows however many there are.
+    """
+    bounds = totals.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    placed = totals.join(bounds, F.lit(True)).withColumn("_q", F.expr(f"({key} - _lo) * {buckets} div (_hi - _lo + 1)")).drop("_lo", "_hi")
+    whole = placed.groupBy("_q").agg(join(value).alias("_w"))
+    earlier = whole.select("_q", join("_w").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))  # at most ``buckets`` rows
+    inside = placed.withColumn("_i", join(value).over(Window.partitionBy("_q").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)))
+    both = F.array_compact(F.array("_e", "_i"))
+    found = F.array_max(both) if join is F.max else F.when(F.size(both) > 0, F.coalesce("_e", F.lit(0)) + F.coalesce("_i", F.lit(0)))
+    return inside.join(earlier, "_q").withColumn(name, found).drop("_q", "_i", "_e")
+
+
 def readable(log: DataFrame) -> DataFrame:
     """Each segment's records before its first bad one; a tear ends its own segment only."""
     first = log.where("bad").groupBy("segment").agg(F.min("lsn").alias("_bad"))
@@ -21,10 +36,10 @@ def after_checkpoint(log: DataFrame) -> DataFrame:
 def transactions(log: DataFrame) -> DataFrame:
     """``log`` with ``txn``: commits before the record. Segment totals first, so that no task sorts the whole log."""
     per = log.groupBy("segment").agg(F.count_if("is_commit").alias("_n"))
-    before = per.select("segment", F.coalesce(F.sum("_n").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    earlier = before(per, "segment", "_n", "_b").select("segment", F.coalesce("_b", F.lit(0)).alias("_b"))
     inside = Window.partitionBy("segment").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum(F.col("is_commit").cast("long")).over(inside), F.lit(0))
-    return log.withColumn("_r", run).join(before, "segment").withColumn("txn", F.col("_b") + F.col("_r")).drop("_r", "_b")
+    return log.withColumn("_r", run).join(earlier, "segment").withColumn("txn", F.col("_b") + F.col("_r")).drop("_r", "_b")
 
 
 def committed(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ no row for one that they say nothing about.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import tempfile
 
@@ -84,11 +85,30 @@ def page_hashes(records: DataFrame, page: Column, key: str, content: Column) ->
     return digests.groupBy("page_no").agg(F.sha2(joined, 256).alias("page_id"))
 
 
-def ranges(pages: DataFrame, key: str = "page_no", *groups: str) -> DataFrame:
-    """Changed pages as contiguous ranges: first, last and how many."""
-    order = Window.partitionBy(*groups).orderBy(key)
-    runs = pages.select(*groups, key).distinct().withColumn("_g", F.col(key) - F.row_number().over(order))
-    return runs.groupBy(*groups, "_g").agg(F.min(key).alias("first_page"), F.max(key).alias("last_page"), F.count("*").alias("n_pages")).drop("_g")
+def ranges(pages: DataFrame, key: str = "page_no", *groups: str, buckets: int = 1024) -> DataFrame:
+    """Changed pages as contiguous ranges: first, last and how many.
+
+    Runs are found within ``buckets`` equal stretches of the keys; what touches the ends of
+    stretches, a run of each at most, is then joined. No task sorts all pages.
+    """
+    pages = pages.select(*groups, key).distinct()
+    bounds = pages.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    placed = pages.join(bounds, F.lit(True)).withColumn("_b", F.expr(f"({key} - _lo) * {buckets} div (_hi - _lo + 1)"))
+    parts = _runs(placed, key, key, F.lit(1), *groups, "_b").select(*groups, "first_page", "last_page", "n_pages")
+    # pieces follow each other as their pages do: the number of pages before a piece's end tells them apart
+    last = Window.partitionBy(*groups).orderBy("first_page")
+    edge = parts.join(bounds, F.lit(True))
+    edge = edge.withColumns({"_b": F.expr(f"(first_page - _lo) * {buckets} div (_hi - _lo + 1)"), "_p": F.expr(f"(first_page - 1 - _lo) * {buckets} div (_hi - _lo + 1)"), "_n": F.expr(f"(last_page + 1 - _lo) * {buckets} div (_hi - _lo + 1)")})
+    inner = edge.where("_p = _b and _n = _b").select(*groups, "first_page", "last_page", "n_pages")
+    outer = edge.where("_p <> _b or _n <> _b").withColumn("_new", (F.coalesce(F.lag("last_page").over(last), F.lit(-2)) + 1 != F.col("first_page")).cast("int"))
+    outer = outer.withColumn("_g", F.sum("_new").over(last)).groupBy(*groups, "_g").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), F.sum("n_pages").alias("n_pages")).drop("_g")
+    return inner.unionByName(outer)
+
+
+def _runs(rows: DataFrame, first: str, last: str, size: Column, *groups: str) -> DataFrame:
+    """Rows whose keys follow each other, as first_page, last_page and n_pages for each run of a group."""
+    runs = rows.withColumn("_g", F.col(first) - F.row_number().over(Window.partitionBy(*groups).orderBy(first)))
+    return runs.groupBy(*groups, "_g").agg(F.min(first).alias("first_page"), F.max(last).alias("last_page"), F.sum(size).alias("n_pages")).drop("_g")
 
 
 def merge(changes: DataFrame, policy: Column) -> DataFrame:
@@ -135,6 +155,39 @@ def closure(edges: DataFrame, roots: DataFrame, steps: int | None = None, source
         seen = seen.unionByName(front)
 
 
+def flood(edges: DataFrame, roots: DataFrame, source: str = "child", target: str = "parent") -> DataFrame:
+    """(node, distance) for all nodes that edges lead to from any root, by shortest distance.
+
+    One flood for all roots: a node is reached once, however many roots lead to it. It ends
+    when nothing is new, so cycles end it too. Where no node has two targets each round
+    doubles the distance, so a long history takes few rounds.
+    """
+    edges = checkpointed(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null").distinct())
+    if edges.groupBy("_s").count().where("count > 1").isEmpty():
+        return _chains(edges, roots.select(F.lit(0).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("distance")).distinct()).drop("root")
+    front = checkpointed(roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("distance")).distinct())
+    seen = front
+    for k in itertools.count(1):
+        reached = edges.join(front, F.col("node") == F.col("_s"), "left_semi").select(F.col("_t").alias("node")).distinct()
+        front = checkpointed(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(k)))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+        if k % 16 == 0:
+            seen = checkpointed(seen)
+
+
+def digest(entries: DataFrame, width: int = 4096) -> str:
+    """One digest of a map's entries (page_no, h): digests of stretches of ``width`` numbers, of stretches of those, and so on."""
+    while True:
+        rows = entries.agg(F.count("*").alias("n")).first()["n"]
+        if rows <= width:
+            ordered = sorted((r["page_no"], r["h"]) for r in entries.select("page_no", "h").collect())  # at most width rows
+            return hashlib.sha256("|".join(f"{k}:{h}" for k, h in ordered).encode()).hexdigest()
+        each = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "h"))), lambda r: F.concat_ws(":", r["page_no"].cast("string"), r["h"]))
+        entries = checkpointed(entries.groupBy(F.floor(F.col("page_no") / width).alias("_p")).agg(F.sha2(F.array_join(each, "|"), 256).alias("h")).select(F.col("_p").alias("page_no"), "h"))
+
+
 def _chains(jumps: DataFrame, seen: DataFrame) -> DataFrame:
     """``closure`` over at most one target a node: ``jumps`` leads 1, 2, 4, ... steps on, and ``seen`` has all nearer nodes."""
     far = 1

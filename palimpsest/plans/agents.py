@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..operators import retrieval, versions
 from ..sources.tables import CLAIMS, claims, table
 from .registry import registry
 
@@ -18,10 +18,31 @@ def _middle(spark, sf_dir):
     return table(spark, sf_dir, "events").agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("t"))
 
 
-@query(f"with {CLAIMS}, {_MIDDLE} select id, subject, predicate, object, t as_of from claims, m where valid_from <= t and known_from <= t")
+#: Claims with the ends of both intervals: a later one about the same subject and predicate closes them.
+_INTERVALS = f"{CLAIMS}, iv as (select *, lead(valid_from) over (partition by subject, predicate order by valid_from, id) valid_to, lead(known_from) over (partition by subject, predicate order by known_from, id) known_to from claims)"
+
+
+def _intervals(spark, sf_dir):
+    ends = {f"{x}_to": F.lead(f"{x}_from").over(Window.partitionBy("subject", "predicate").orderBy(f"{x}_from", "id")) for x in ("valid", "known")}
+    return claims(spark, sf_dir).withColumns(ends)
+
+
+@query(f"with {_INTERVALS}, {_MIDDLE} select id, subject, predicate, object, t valid_at, t + to_days(2) known_at from iv, m where valid_from <= t and (valid_to is null or t < valid_to) and known_from <= t + to_days(2) and (known_to is null or t + to_days(2) < known_to)")
 def claims_as_of(spark, sf_dir):
-    c = claims(spark, sf_dir).join(_middle(spark, sf_dir), (F.col("valid_from") <= F.col("t")) & (F.col("known_from") <= F.col("t")))
-    return c.select("id", "subject", "predicate", "object", F.col("t").alias("as_of"))
+    """What held at one time as it was known at another: half-open intervals on both axes, both bounds in the answer."""
+    at = _middle(spark, sf_dir).select(F.col("t").alias("valid_at"), (F.col("t") + F.make_dt_interval(F.lit(2))).alias("known_at"))
+    c = _intervals(spark, sf_dir).join(F.broadcast(at), F.lit(True))
+    held = lambda x: (F.col(f"{x}_from") <= F.col(f"{x}_at")) & (F.col(f"{x}_to").isNull() | (F.col(f"{x}_at") < F.col(f"{x}_to")))
+    return c.where(held("valid") & held("known")).select("id", "subject", "predicate", "object", "valid_at", "known_at")
+
+
+@query(f"with {_INTERVALS} select q.id question, c.id answer from iv q join iv c on c.subject = q.subject and c.predicate = q.predicate and c.valid_from <= q.known_from and (c.valid_to is null or q.known_from < c.valid_to) where q.id % 50 = 0")
+def claims_at_question(spark, sf_dir):
+    """For each 50th claim the one that held when it became known: an interval join within subject and predicate."""
+    c = _intervals(spark, sf_dir)
+    q = c.where("id % 50 = 0").select(F.col("id").alias("question"), "subject", "predicate", F.col("known_from").alias("at"))
+    held = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    return c.join(q, ["subject", "predicate"]).where(held).select("question", F.col("id").alias("answer"))
 
 
 @query(f"with {CLAIMS} select id, subject, predicate, known_from, lead(known_from) over (partition by subject, predicate order by known_from, id) known_to from claims")
@@ -52,7 +73,7 @@ def merge_provenance_rank(spark, sf_dir):
     return claims(spark, sf_dir).withColumn("r", F.row_number().over(w)).select("id", F.when(F.col("r") == 1, "Accepted").otherwise("Contradicted").alias("status"))
 
 
-_DERIVED = "edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), roots as (select doc_id node from documents where source = 'src3' and doc_id % 7 = 0), taint(node, distance) as (select node, 0 from roots union select child, distance + 1 from taint join edges on parent = node where distance < 32)"
+_DERIVED = "edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), roots as (select doc_id node from documents where source = 'src3' and doc_id % 7 = 0), taint(node, distance) as (select node, 0 from roots union select child, distance + 1 from taint join edges on parent = node)"
 
 
 def _edges(spark, sf_dir):
@@ -63,8 +84,7 @@ def _edges(spark, sf_dir):
 
 def _tainted(spark, sf_dir):
     roots = table(spark, sf_dir, "documents").where("source = 'src3' and doc_id % 7 = 0").select("doc_id")
-    # all roots start one flood: a node is reached once
-    return versions.closure(_edges(spark, sf_dir), roots, 32, "parent", "child").groupBy("node").agg(F.min("distance").cast("long").alias("distance"))
+    return versions.flood(_edges(spark, sf_dir), roots, "parent", "child").select("node", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"with recursive {_DERIVED} select node, min(distance)::bigint distance from taint group by node")
@@ -86,10 +106,10 @@ def staleness(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(stale, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit("Fresh")).alias("status"))
 
 
-@query("with recursive edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), up(root, node, d) as (select doc_id, doc_id, 0 from documents union all select root, parent, d + 1 from up join edges on child = node where d < 32) select root doc_id, max(coalesce(toxic, 0))::int label from up left join labels on labels.doc_id = node group by root")
+@query("with recursive edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), up(root, node, d) as (select doc_id, doc_id, 0 from documents union all select root, parent, d + 1 from up join edges on child = node) select root doc_id, max(coalesce(toxic, 0))::int label from up left join labels on labels.doc_id = node group by root")
 def label_propagation(spark, sf_dir):
     marked = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    below = versions.closure(_edges(spark, sf_dir), marked, 32, "parent", "child").select(F.col("node").alias("doc_id")).distinct().withColumn("label", F.lit(1))
+    below = versions.flood(_edges(spark, sf_dir), marked, "parent", "child").select(F.col("node").alias("doc_id")).withColumn("label", F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id").join(below, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
@@ -118,30 +138,24 @@ def aql_filter(spark, sf_dir):
     return claims(spark, sf_dir).where("subject % 10 = 3 and predicate in ('purchase', 'click') and trust >= 2").select("id", "subject", "predicate")
 
 
-@query("with q as (select embedding e from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(embedding::double[], e::double[]), 6) score from embeddings, q order by list_cosine_similarity(embedding::double[], e::double[]) desc, vec_id limit 10")
+@query("with e as (select vec_id, embedding::double[] v from embeddings), s as (select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.v, q.v) s from e, e q where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) place from s) select query_id, vec_id, place, round(s, 6) score from r where place <= 10")
 def retrieve_vector_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q")).limit(1)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q"))
-    return e.join(F.broadcast(q), F.lit(True)).withColumn("s", score).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
+    """The ten nearest vectors to each 50th one."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    found = retrieval.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), 10)
+    return found.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
-_BM25 = "w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) t from documents), n as (select doc_id, count(*) n from w group by 1), a as (select avg(n) a, (select count(*) from documents) c from n), f as (select doc_id, t, count(*) f from w where t in ('the', 'of', 'on') group by 1, 2), df as (select t, count(*) d from f group by 1)"
+_BM25 = "w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) t from documents), n as (select doc_id, count(*) n from w group by 1), a as (select avg(n) a, (select count(*) from documents) c from n), f as (select doc_id, t, count(*) f from w group by 1, 2), df as (select t, count(*) d from f group by 1), q as (select doc_id query_id, t, d from (select f.doc_id, t, d, row_number() over (partition by f.doc_id order by d, t) r from f join df using (t) where f.doc_id % 50 = 0) where r <= 10)"
 
 
-@query(f"with {_BM25} select doc_id, round(sum(ln(1 + (c - d + 0.5::double) / (d + 0.5::double)) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * n / a))), 6) score from f join df using (t) join n using (doc_id), a group by doc_id")
+@query(f"with {_BM25}, s as (select query_id, doc_id, sum(ln(1 + (c - d + 0.5::double) / (d + 0.5::double)) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * n / a))) s from q join f using (t) join n using (doc_id), a group by 1, 2), r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, doc_id) place from s) select query_id, doc_id, place, round(s, 6) score from r where place <= 10")
 def retrieve_bm25(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    """The ten documents that fit the ten rarest words of each 50th document best."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    each = d.select("doc_id", words.alias("w")).select("doc_id", "w", F.size("w").alias("n"))
-    mean = each.where("n > 0").agg(F.avg("n").alias("a")).join(d.agg(F.count("*").alias("c")), F.lit(True))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
-    hits = each.select("doc_id", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), count(t).alias("f")) for t in ("the", "of", "on")])).alias("x")).select("doc_id", "n", "x.*").where("f > 0")
-    df = hits.groupBy("t").agg(F.count("*").alias("d"))
-    s = hits.join(F.broadcast(df), "t").join(F.broadcast(mean), F.lit(True))
-    part = F.log(1 + (F.col("c") - F.col("d") + 0.5) / (F.col("d") + 0.5)) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("a")))
-    return s.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    found = retrieval.bm25(d, "doc_id % 50 = 0", 10, 10)
+    return found.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
 @query("with r as (select source, doc_id, ceil(n_chars / 4.0)::bigint tokens, sum(ceil(n_chars / 4.0)) over (partition by source order by doc_id)::bigint used from documents) select source, doc_id, tokens, used from r where used <= 4000")
@@ -156,8 +170,8 @@ def retrieve_influence_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(denied, "doc_id", "left_anti")
 
 
-@query("with recursive edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), f(node, d) as (select 5::bigint, 0 union all select child, d + 1 from f join edges on parent = node where d < 32) select case when d = 0 then 'direct' else 'derived' end kind, count(*) n from f group by 1")
+@query("with recursive edges as (select doc_id parent, 2 * doc_id + k child from documents, (values (0), (1)) v(k) where doc_id > 0 and 2 * doc_id + k in (select doc_id from documents)), f(node, d) as (select 5::bigint, 0 union all select child, d + 1 from f join edges on parent = node) select case when d = 0 then 'direct' else 'derived' end kind, count(*) n from f group by 1")
 def forgetting_report(spark, sf_dir):
     roots = spark.range(5, 6).select(F.col("id").alias("doc_id"))
-    found = versions.closure(_edges(spark, sf_dir), roots, 32, "parent", "child")
+    found = versions.flood(_edges(spark, sf_dir), roots, "parent", "child")
     return found.groupBy(F.when(F.col("distance") == 0, "direct").otherwise("derived").alias("kind")).agg(F.count("*").alias("n"))

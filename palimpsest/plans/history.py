@@ -16,13 +16,8 @@ _TXN = f"{LOG}, t as (select *, coalesce(sum(is_commit::int) over (order by lsn
 _GOOD = f"{LOG}, good as (select * from log l where lsn < coalesce((select min(lsn) from log b where bad and b.segment = l.segment), 9e18))"
 
 
-@query("select o_orderkey page_no, o_custkey txn, row_number() over (order by o_custkey, o_orderkey)::bigint lsn from orders where o_custkey <= 100")
-def wal_lsn(spark, sf_dir):
-    return logs.numbered(table(spark, sf_dir, "orders").where("o_custkey <= 100").select(F.col("o_orderkey").alias("page_no"), F.col("o_custkey").alias("txn")))
-
-
 @query("select o_orderkey page_no, o_custkey txn, row_number() over (order by o_custkey, o_orderkey)::bigint lsn from orders")
-def wal_lsn_whole(spark, sf_dir):
+def wal_lsn(spark, sf_dir):
     return logs.numbered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_no"), F.col("o_custkey").alias("txn")))
 
 
@@ -49,16 +44,16 @@ def wal_discarded(spark, sf_dir):
     return log(spark, sf_dir).join(last, F.col("lsn") > F.col("_c")).agg(F.countDistinct("page_no").alias("discarded"))
 
 
-@query(f"with {LOG}, w as (select *, row_number() over (partition by page_no order by lsn desc) r from log where not is_commit and not is_checkpoint and lsn <= (select max(lsn) from log where is_commit)) select page_no, page_id from w where r = 1 and page_id is not null")
+@query(f"with {_GOOD}, w as (select *, row_number() over (partition by page_no order by lsn desc) r from good where not is_commit and not is_checkpoint and lsn <= (select max(lsn) from good where is_commit)) select page_no, page_id from w where r = 1 and page_id is not null")
 def wal_head_state(spark, sf_dir):
-    return logs.head_state(log(spark, sf_dir))
+    return logs.head_state(logs.readable(log(spark, sf_dir)))
 
 
-@query(f"with {_GOOD} select count(*) records_replayed, count(*) filter (is_commit) committed_txns, max(lsn) filter (is_commit) durable_lsn, (select count(distinct segment) from log where bad) torn_segments from good")
+@query(f"with {_GOOD}, rest as (select * from good where lsn > coalesce((select max(lsn) from good where is_checkpoint), -1)) select count(*) records_replayed, count(*) filter (is_commit) committed_txns, max(lsn) filter (is_commit) durable_lsn, (select count(distinct segment) from log where bad) torn_segments from rest")
 def wal_recovery_report(spark, sf_dir):
     l = log(spark, sf_dir)
     torn = l.where("bad").agg(F.countDistinct("segment").alias("torn_segments"))
-    report = logs.readable(l).agg(F.count("*").alias("records_replayed"), F.count_if("is_commit").alias("committed_txns"), F.max(F.when(F.col("is_commit"), F.col("lsn"))).alias("durable_lsn"))
+    report = logs.after_checkpoint(logs.readable(l)).agg(F.count("*").alias("records_replayed"), F.count_if("is_commit").alias("committed_txns"), F.max(F.when(F.col("is_commit"), F.col("lsn"))).alias("durable_lsn"))
     return report.join(torn, F.lit(True))
 
 
@@ -92,15 +87,8 @@ def tier_read_through(spark, sf_dir):
     return t.select("page").join(local, "page", "left").join(remote, "page", "left").select("page", outcome.alias("outcome"))
 
 
-@query("select event_id pos, user_id page, sha256(d.text) page_id from events left join documents d on d.doc_id = user_id where event_id < 2000")
-def batch_fetch(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").where("event_id < 2000").select(F.col("event_id").alias("pos"), F.col("user_id").alias("page"))
-    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.sha2("text", 256).alias("page_id"))
-    return logs.batch(ids, store)
-
-
 @query("select event_id pos, user_id page, sha256(d.text) page_id from events left join documents d on d.doc_id = user_id")
-def batch_fetch_whole(spark, sf_dir):
+def batch_fetch(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("page"))
     store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.sha2("text", 256).alias("page_id"))
     return logs.batch(ids, store)
@@ -146,9 +134,9 @@ def _clock(spark, sf_dir):
 def high_water_clock(spark, sf_dir):
     c = _clock(spark, sf_dir).withColumn("_b", F.expr("event_id div 1000"))
     tops = c.groupBy("_b").agg(F.max("wall").alias("_m"))
-    before = tops.select("_b", F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_p"))
+    earlier = logs.before(tops, "_b", "_m", "_p", F.max).drop("_m")
     run = F.max("wall").over(Window.partitionBy("_b").orderBy("event_id"))
-    return c.withColumn("_r", run).join(before, "_b").select("event_id", "wall", F.greatest("_r", "_p").alias("high_water"))
+    return c.withColumn("_r", run).join(earlier, "_b").select("event_id", "wall", F.greatest("_r", "_p").alias("high_water"))
 
 
 _LICENSES = "(values (0, 'ok', 0, 400, 30, true), (1, 'short', 0, 20, 30, true), (2, 'grace', 0, -10, 30, true), (3, 'past', 0, -60, 30, true), (4, 'early', 10, 400, 30, true), (5, 'forged', 0, 400, 30, false)) l(id, name, from_day, to_day, grace_days, valid)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agents, fleets, history, states
+from . import agents, fleets, history, memory, states
 
-QUERIES = states.QUERIES | history.QUERIES | fleets.QUERIES | agents.QUERIES
-ORACLE_SQL = states.ORACLE_SQL | history.ORACLE_SQL | fleets.ORACLE_SQL | agents.ORACLE_SQL
+QUERIES = states.QUERIES | history.QUERIES | fleets.QUERIES | agents.QUERIES | memory.QUERIES
+ORACLE_SQL = states.ORACLE_SQL | history.ORACLE_SQL | fleets.ORACLE_SQL | agents.ORACLE_SQL | memory.ORACLE_SQL

@@ -13,12 +13,13 @@ QUERIES, ORACLE_SQL, query = registry()
 
 
 def _changed(spark, sf_dir):
-    """Three-way classes of the records on pages that differ from the base on either branch."""
+    """Three-way classes of the records: one aggregation over the three sides.
+
+    Hashing pages first to leave out equal ones costs more than the diff, unless their ids
+    are at hand already.
+    """
     s = order_branches(spark, sf_dir)
-    pages = {x: versions.page_hashes(s[x], page_no(), "k", content.canonical(F.col("k"), F.col("v"))) for x in s}
-    open_ = versions.diff(pages["base"], pages["a"]).select("page_no").union(versions.diff(pages["base"], pages["b"]).select("page_no")).distinct()
-    on = {x: s[x].withColumn("page_no", page_no()).join(open_, "page_no", "left_semi") for x in s}
-    return versions.diff3(on["base"], on["a"], on["b"], "k", "v")
+    return versions.diff3(s["base"], s["a"], s["b"], "k", "v")
 
 
 @query(f"with {ORDER_BRANCHES} select c_mktsegment, class, count(*) n from c join orders on o_orderkey = k join customer on c_custkey = o_custkey where class is not null group by all")
@@ -151,15 +152,8 @@ def resolve_as_of(spark, sf_dir):
     return versions.resolve(l.where("not is_commit").join(half, F.col("lsn") <= F.col("_h")).select("page_no", "page_id", (-F.col("lsn")).alias("hop")))
 
 
-@query(f"with {LOG}, w as (select *, row_number() over (partition by page_no order by lsn desc) r from log where not is_commit) select distinct c_custkey page_no, page_id from customer left join (select * from w where r = 1) w on c_custkey = page_no where c_custkey % 10 = 0")
-def lookup_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("page_no"))
-    chain = log(spark, sf_dir).where("not is_commit").select("page_no", "page_id", (-F.col("lsn")).alias("hop"))
-    return versions.lookup(chain, pages)
-
-
 @query(f"with {LOG}, w as (select *, row_number() over (partition by page_no order by lsn desc) r from log where not is_commit) select distinct c_custkey page_no, page_id from customer left join (select * from w where r = 1) w on c_custkey = page_no")
-def lookup_pages_whole(spark, sf_dir):
+def lookup_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_no"))
     chain = log(spark, sf_dir).where("not is_commit").select("page_no", "page_id", (-F.col("lsn")).alias("hop"))
     return versions.lookup(chain, pages)
@@ -198,7 +192,7 @@ _UP = "up as (with recursive r(root, node, distance) as (select node, node, 0 fr
 
 def _ancestors(spark, sf_dir, where):
     c = commits(spark, sf_dir)
-    return versions.closure(c.withColumnRenamed("node", "child"), c.where(where).select("node"), 64)
+    return versions.closure(c.withColumnRenamed("node", "child"), c.where(where).select("node"))
 
 
 @query(f"with {COMMITS}, {_UP} select root, node, distance::bigint distance from up")
@@ -219,7 +213,7 @@ def _live(spark, sf_dir):
     c = commits(spark, sf_dir)
     edges = c.select(F.col("node").alias("child"), "parent").union(c.select("node", "overlay_base")).where("parent is not null").distinct()
     roots = c.where("node % 97 = 0 or node % 101 = 0").select("node")
-    return versions.closure(edges, roots, 64).select("node").distinct()
+    return versions.flood(edges, roots).select("node")
 
 
 @query(f"{_LIVE} select distinct node from live")

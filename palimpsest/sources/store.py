@@ -7,11 +7,13 @@ newest row of which counts. Forking, tagging and rewinding write one row of refs
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MAX_OVERLAY_DEPTH
-from ..errors import Conflict, Missing, NoSuchRef, RefExists
+from ..errors import Conflict, InvalidPage, Missing, NoSuchRef, RefExists
 from ..operators import versions
 
 CHANGES = "page_no long, page_id string"
@@ -42,6 +44,10 @@ class VersionedTable:
 
     def _move(self, kind: str, name: str, manifest: str | None) -> None:
         seq = self._read("refs", REFS).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        # only one writer can make the file of a number
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/moves/{seq}")
+        if not place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).createNewFile(place):
+            raise Conflict(f"another writer has made move {seq}")
         self._append("refs", [(seq, kind, name, manifest)], REFS)
 
     def _ref(self, kind: str, name: str) -> str | None:
@@ -112,7 +118,8 @@ class VersionedTable:
         """Applies (page_no, page_id or null) to a branch and returns its new state, or the old one if nothing changes.
 
         ``base`` is the state that the changes were made on: a branch that has moved since is
-        a ``Conflict``. The changes are written first and the reference last, so a failure
+        a ``Conflict``, and so is another writer's move at the same time. A page may be staged
+        once. The changes are written first and the reference last, so a failure
         between leaves an unused folder.
         """
         head = self.head(branch)
@@ -121,17 +128,16 @@ class VersionedTable:
         old = self._manifest(head)
         before = self.as_of(head)
         effects = versions.checkpointed(versions.derive(before, changes))
-        delta = effects.agg(F.sum("delta").alias("d"), F.count_if(F.col("effect") != "none").alias("n")).first()
+        delta = effects.agg(F.sum("delta").alias("d"), F.count_if(F.col("effect") != "none").alias("n"), F.count("*").alias("rows"), F.countDistinct("page_no").alias("pages")).first()
+        if delta["rows"] != delta["pages"]:
+            raise InvalidPage("a page is staged twice, or has no number")
         if not delta["n"]:
             return head
         flat = old["depth"] >= MAX_OVERLAY_DEPTH
         staged = effects.select("page_no", "page_id")
         rows = versions.checkpointed(versions.applied(before, staged)) if flat else staged
-        # digests of buckets of entries, then of those in order: no task sees all entries
         each = rows.select("page_no", F.sha2(F.concat_ws(":", F.col("page_no").cast("string"), F.coalesce("page_id", F.lit("-"))), 256).alias("h"))
-        sums = each.groupBy(F.pmod("page_no", F.lit(256)).alias("b")).agg(F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("s")).orderBy("b").collect()
-        text = "|".join([head, str(now_ms), str(flat), *(f"{r['b']}:{r['s']}" for r in sums)])
-        manifest = self.spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
+        manifest = hashlib.sha256("|".join([head, str(now_ms), str(flat), versions.digest(each)]).encode()).hexdigest()
         rows.write.mode("overwrite").parquet(f"{self.path}/changes/{manifest}")
         depth = 0 if flat else old["depth"] + 1
         self._append("manifests", [(manifest, head, None if flat else head, depth, old["page_count"] + delta["d"], now_ms)], MANIFESTS)
@@ -157,5 +163,5 @@ class VersionedTable:
         """States that no branch or tag leads to, by parents and overlay bases: what may be removed."""
         m = self._read("manifests", MANIFESTS)
         edges = m.select(F.col("manifest").alias("child"), "parent").union(m.select("manifest", "overlay_base")).where("parent is not null").distinct()
-        live = versions.closure(edges, self.refs().select("manifest").distinct()).select(F.col("node").alias("manifest")).distinct()
+        live = versions.flood(edges, self.refs().select("manifest").distinct()).select(F.col("node").alias("manifest"))
         return m.select("manifest").join(live, "manifest", "left_anti")

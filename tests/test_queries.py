@@ -43,6 +43,6 @@ def test_sealing(spark):
     assert queries.QUERIES["relocation_fails"](spark, SRC).where("not refused").isEmpty()
 
 
-@pytest.mark.parametrize("name, source", [("wal_lsn_whole", "orders"), ("batch_fetch_whole", "events"), ("lookup_pages_whole", "customer")])
+@pytest.mark.parametrize("name, source", [("wal_lsn", "orders"), ("batch_fetch", "events"), ("lookup_pages", "customer")])
 def test_whole_tables(spark, name, source):
     assert queries.QUERIES[name](spark, SRC).count() == spark.read.parquet(f"{SRC}/{source}.parquet").count()
