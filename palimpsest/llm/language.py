@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .charblocks import Block, blocks
-from .common import bounded_sample, crc_mod, materialize
+from .common import crc_mod, fresh, materialize
 
 SIZES = (2, 3, 4)
 UNDETERMINED = "und"
+#: Up to so many languages' counts (one row each) are sent to every executor; beyond that the join shuffles.
+BROADCAST_LANGS = 10_000
 
 
-def grams(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the places of n-grams and their hashes. Non-letters count as one kind of boundary; n-grams without a letter in second place or across two boundaries are no n-grams."""
+def grams(block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n: n, the places of n-grams and their hashes. Non-letters count as one kind of boundary; n-grams without a letter in second place or across two boundaries are no n-grams."""
     inside = block.letter
     shown = np.where(inside, block.cp, np.uint32(32))
     h = block.prefix_hash(shown)
@@ -39,7 +41,7 @@ def grams(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             good = inside[:-1] | inside[1:]
             good = good[: last + 1]
         at = np.flatnonzero(good)
-        yield at, block.hash_between(h, at, at + n) + np.uint64(n)
+        yield n, at, block.hash_between(h, at, at + n) + np.uint64(n)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +49,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
             texts = [t for t, x in zip(batch.column(1).to_pylist(), langs, strict=True) if x == lang]
-            found = [g for b in blocks(texts) for _, g in grams(b)]
+            found = [g for b in blocks(texts) for *_, g in grams(b)]
             if found:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -89,8 +91,9 @@ class Filters:
         for block in blocks(texts, overlap=max(SIZES) - 1):
             np.logical_or.at(letters, block.rows, block.sums(block.letter.astype(np.int64)) > 0)
             ends = np.append(block.starts[1:], len(block.cp))
-            for at, g in grams(block):
-                lo, hi = np.searchsorted(at, block.starts), np.searchsorted(at, ends)
+            for n, at, g in grams(block):
+                # none that reach into the next text
+                lo, hi = np.searchsorted(at, block.starts), np.searchsorted(at, np.maximum(ends - n + 1, block.starts))
                 np.add.at(total, block.rows, hi - lo)
                 for word in range(len(self.slots)):
                     mask = self.masks(word, g)
@@ -105,25 +108,28 @@ class Filters:
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         share = np.clip((hits / np.maximum(total, 1)[:, None] - self.false) / (1 - self.false), 0, 1)
-        best = share.argmax(1)  # ties: the first language by name
+        best = share.argmax(1)
         whole = share.sum(1)
         score = np.where(letters & (whole > 0), share.max(1) / np.where(whole > 0, whole, 1), 0.0)
         return [self.langs[b] if x else UNDETERMINED for b, x in zip(best, letters, strict=True)], score
 
 
 def learn(docs: DataFrame, max_docs: int = 2000, max_grams: int = 20_000, min_share: float = 1e-5, ratio: float = 0.3, bits: int = 19, hashes: int = 3) -> Filters:
-    """Filters from ``docs`` (text, lang; rows without either are left out).
+    """Filters from ``docs`` (text, lang, perhaps doc_id; rows without text or lang are left out).
 
     At most ``max_docs`` documents of each language are read, the first by a hash of their
-    text. An n-gram enters a language's filter if it makes up ``min_share`` of that
+    doc_id and text; a threshold on it is applied where rows are read, so none but about
+    three times that many a language move. An n-gram enters a language's filter if it makes up ``min_share`` of that
     language's n-grams and at least ``ratio`` of its share in any other; at most
     ``max_grams`` of each enter, the most frequent ones.
     """
-    rows = docs.select("lang", "text").where("lang is not null and text is not null")
-    rank = Window.partitionBy("lang").orderBy("_h", "text")
-    # a language with most of the rows is cut by hash before the window sees it
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    rows = rows.withColumn("_h", F.xxhash64("text")).join(sizes, "lang").where(F.pmod("_h", F.lit(1_000_003)) * F.col("_n") <= F.lit(1_000_003 * 3 * max_docs))
+    key = ["doc_id", "text"] if "doc_id" in docs.columns else ["text"]
+    rows = docs.select("lang", *key).where("lang is not null and text is not null")
+    rank = Window.partitionBy("lang").orderBy("_h", *key)
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("_n")))
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
+    rows = rows.withColumn("_h", F.xxhash64(*key)).join(sizes, "lang").where(F.pmod("_h", F.lit(1_000_003)) * F.col("_n") <= F.lit(1_000_003 * 3 * max_docs))
     sample = rows.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= max_docs).select("lang", "text")
     counts = materialize(sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     by_lang = counts.groupBy("lang").agg(F.sum("n").alias("_all"))
@@ -141,7 +147,9 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
     ``lang_pred`` is a learned language, or ``und`` (score 0) for a null text and one without
-    letters; a text none of whose n-grams is known gets the first language with score 0.
+    letters; a text none of whose n-grams is known gets the first language with score 0. Of
+    equal languages it is the first by name. A text of over 2**19 characters is counted in
+    pieces; what their ends share counts in both.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -150,8 +158,9 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
         lang, score = shared.value.predict(column.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    rest = docs.select([c for c in docs.columns if c not in ("lang_pred", "score", "_p")])
-    return rest.withColumn("_p", predict(F.col(text))).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    [p] = fresh(docs, "_p")
+    rest = docs.withColumn(p, predict(F.col(text))).drop("lang_pred", "score")
+    return rest.select("*", f"{p}.lang_pred", f"{p}.score").drop(p)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,32 @@ def test_held_out_accuracy(spark, docs_of, prose):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_prediction_against_brute_force(docs_of, prose):
+    """Bit-sliced counting gives what looking up each n-gram in each language's filter gives."""
+    filters = language.learn(docs_of(corpus(prose, 8)))
+    texts = [prose(5000 + i, 30, a) for i, a in enumerate([*ALPHABETS.values(), "xyz"])] + ["a", "Abc  12 dé!"]
+    total, hits, _ = filters.count(texts)
+    for i, text in enumerate(texts):
+        shown = "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        want, n = np.zeros(len(filters.langs)), 0
+        for size in language.SIZES:
+            for k in range(len(shown) - size + 1):
+                g = shown[k : k + size]
+                if (g[0] != " " or g[1] != " ") if size == 2 else " " not in g[1:-1]:
+                    n += 1
+                    code = next(language.blocks([g]))
+                    h = code.prefix_hash(np.array([ord(c) for c in g + " "], np.uint32))
+                    key = code.hash_between(h, np.array([0]), np.array([size])) + np.uint64(size)
+                    want += [int(filters.masks(0, key)[0]) >> l & 1 for l in range(len(want))]
+        assert total[i] == n and (hits[i] == want).all()
+
+
+def test_copies_do_not_stand_or_fall_as_one(docs_of, prose):
+    """The sample's threshold is by doc_id and text, so a mass of copies leaves some."""
+    rows = [(i, "abcd efgh abcd", "aa", "s") for i in range(3000)] + [(5000 + i, prose(i, 30, "klmnop"), "bb", "s") for i in range(20)]
+    assert language.learn(docs_of(rows), max_docs=50).langs == ["aa", "bb"]
+
+
 def test_odd_rows_and_clashing_columns(spark, docs_of, odd, prose):
     filters = language.learn(docs_of(corpus(prose, 8)))
     found = language.identify(odd.withColumnRenamed("source", "score").withColumnRenamed("n_chars", "_p"), filters).collect()
