@@ -26,8 +26,8 @@ CUTOFF = 35.888
 #: Groups with fewer rows are judged with their language's other small groups, and if those are fewer with all rows.
 LEAST_ROWS = 100
 ALL = "*"
-#: Most concentration steps.
-STEPS = 20
+#: Most concentration steps, and the fall of a determinant's logarithm below which it counts as settled.
+STEPS, SETTLED = 12, 1e-3
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 BIN = 64
 
@@ -158,7 +158,7 @@ def robust_estimates(rows: DataFrame, names: list[str], floors: list[float], ste
     """For each ``_g`` of ``rows`` (materialised): ``m_i``, ``l_i_j`` and ``log_det`` of the MCD estimate.
 
     From each start the ``SHARE`` of rows nearest to the estimate give the next one, until
-    no determinant falls any further (``steps`` times at most); the start that ends with
+    no determinant falls by ``SETTLED`` any more (``steps`` times at most); the start that ends with
     the least determinant wins. What a step finds is written, a few rows a group.
     """
     depth = _binned(F.log(_distance(names) + 1e-6))
@@ -167,7 +167,7 @@ def robust_estimates(rows: DataFrame, names: list[str], floors: list[float], ste
         limit = rows.join(params, "_g").groupBy("_g", "_k").agg(F.percentile(depth, F.lit(SHARE)).alias("_t"))
         limited = materialize(params.join(limit, ["_g", "_k"]))
         after = materialize(_factor(rows.join(limited, "_g").where(depth <= F.col("_t")).groupBy("_g", "_k").agg(*_sums(names)), names, floors))
-        falls = after.select("_g", "_k", F.col("log_det").alias("now")).join(params, ["_g", "_k"]).where("now < log_det - 1e-9")
+        falls = after.select("_g", "_k", F.col("log_det").alias("now")).join(params, ["_g", "_k"]).where(F.col("now") < F.col("log_det") - SETTLED)
         params = after
         if step and falls.isEmpty():
             break

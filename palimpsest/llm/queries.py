@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op9_near_duplicates": near_duplicates.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }

@@ -37,7 +37,7 @@ def mcd(x, floors, rounded=True, share=quality_rules.SHARE):
             near = x[d <= np.quantile(d, share)]
             m = near.mean(0)
             after.append((m, quality_rules.CONSISTENCY * (near.T @ near / len(near) - np.outer(m, m)) + np.diag(floors**2)))
-        done = _ and all(np.linalg.slogdet(a[1])[1] >= np.linalg.slogdet(b[1])[1] - 1e-9 for a, b in zip(after, starts, strict=True))
+        done = _ and all(np.linalg.slogdet(a[1])[1] >= np.linalg.slogdet(b[1])[1] - quality_rules.SETTLED for a, b in zip(after, starts, strict=True))
         starts = after
         if done:
             break
