@@ -38,7 +38,7 @@ WHOLE_WORDS = 16
 #: A pair is verified if its sketches' estimate falls short of the limit by at most this: five standard deviations of the sampling and the sketch.
 SLACK = 0.2
 #: A bucket with more members in question is split by their rarest shingles.
-HOT = 256
+HOT = 16
 #: Counters that tell how rare a shingle is (by hash; what shares one only looks more common).
 SLOTS = 1 << 20
 #: Rows of an Arrow batch that are worked on at a time, and bytes of their text.
@@ -272,9 +272,11 @@ def _by_rare_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, n:
         counts[r["s"]] = r["n"]  # at most SLOTS rows
     tokens = sets.mapInArrow(_rarest(spark.sparkContext.broadcast(counts), percent), "node binary, n long, token long, lookup boolean")
     tokens = materialize(tokens.join(members, "node"))
-    side = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "lookup", "component", "few")])
+    sketched = tokens.join(nodes.select("node", "sketch", "whole"), "node")
+    side = lambda x: sketched.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "lookup", "component", "few", "sketch", "whole")])
     fits = (F.col("lookup_a") & (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))) | (F.col("lookup_b") & (F.col("n_b") <= F.col("n_a")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    found = side("a").where("few_a").join(side("b"), "token").where(fits & (F.col("component_a") != F.col("component_b")))
+    # sketches decide within the join, so that a family of which many share a token leaves few rows
+    found = side("a").where("few_a").join(side("b"), "token").where(fits & (F.col("component_a") != F.col("component_b")) & _promising(percent))
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -359,3 +361,17 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4)
+
+
+#: All pairs of documents that share a shingle, and all that each can reach.
+OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, w, unnest(range(greatest(len(w) - 3, least(len(w), 1)))) p from w),
+s as (select distinct doc_id, array_to_string(w[p + 1 : p + 4], ' ') s from g),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(node, reach) as (select doc_id, doc_id from documents union select r.node, e.b from r join e on e.a = r.reach)
+select node doc_id, coalesce(n, 0)::bigint n_shingles, min(reach) component_id, node = min(reach) kept from r left join n on doc_id = node group by node, n
+"""
