@@ -2,7 +2,7 @@
 
 Documents and benchmark items become arrays of words; a shingle is five words with its
 letters as weight. For each length that an item has, every window of so many words gets a
-128-bit SimHash of its weighted shingles, from running sums, unless too little of its
+126-bit SimHash of its weighted shingles, from running sums, unless too little of its
 weight is in shingles of the benchmark (of whatever item) for the similarity to be reached.
 Fingerprints are cut into ten blocks. Two that differ in at most ``RADIUS`` bits differ in
 at most ``NEAR`` bits of some block, so the index has each item under all values that near
@@ -23,11 +23,11 @@ from .common import let, materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of the ten blocks, half of them for each half of a fingerprint.
-BLOCKS = (13, 13, 13, 13, 12)
+BLOCKS = (13, 13, 13, 12, 12)
 #: Bits in which a block may differ from that of the item it finds, and the distance within which that finds every pair.
 NEAR = 2
 RADIUS = 2 * len(BLOCKS) * (NEAR + 1) - 1
-#: Pairs further apart are dropped: at a similarity of 0.8 about 19.4 of 128 bits differ, with a standard deviation of 4.1.
+#: Pairs further apart are dropped: at a similarity of 0.8 about 19.1 of 126 bits differ, with a standard deviation of 4.
 FAR = 40
 #: ASCII letters and digits, and all other characters beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,11 +66,15 @@ def shingles_of(words: Column, n: int = SHINGLE) -> Column:
     return let(words, both)
 
 
-# A SimHash sums, for each of its 128 bits, the weights of the shingles whose hash has that
-# bit. Three such sums share a long, FIELD bits each; "q0" to "q42" are these longs and "qw"
-# is the sum of all weights. Sums over a window are differences of running sums.
-BITS, FIELD = 128, 20
-_SUMS = [f"q{k}" for k in range(-(-BITS // 3))]
+# A SimHash weighs, for each of its 126 bits, the shingles whose hash has that bit against
+# the others. Twice the weight of the former is summed, three bits to a long, FIELD bits
+# each: "q0" to "q41" are these longs and "qw" is the weight of all shingles. Sums over a
+# window are differences of running sums. FIELD - 1 bits hold a sum; the highest bit of a
+# field turns up where the sum exceeds "qw", for all three by one addition.
+HALF, FIELD = 63, 21
+_SUMS = [f"q{k}" for k in range(2 * HALF // 3)]
+_ONES = 1 + (1 << FIELD) + (1 << 2 * FIELD)
+_TOPS = _ONES << FIELD - 1
 
 
 def packed(h: Column, w: Column, heaviest: int) -> dict[str, Column]:
@@ -79,24 +83,30 @@ def packed(h: Column, w: Column, heaviest: int) -> dict[str, Column]:
     hashes = (h, F.xxhash64(h))
     found = {}
     for k, name in enumerate(_SUMS):
-        each = [F.when(F.getbit(hashes[b // 64], F.lit(b % 64)) == 1, F.shiftleft(w, FIELD * (b % 3))).otherwise(F.lit(0).cast("long")) for b in range(3 * k, min(3 * k + 3, BITS))]
-        found[name] = sum(each[1:], each[0])
+        each = [F.when(F.getbit(hashes[k // FIELD], F.lit(k % FIELD + FIELD * f)) == 1, F.shiftleft(w, 1 + FIELD * f)).otherwise(F.lit(0).cast("long")) for f in range(3)]
+        found[name] = each[0] + each[1] + each[2]
     return found | {"qw": w}
 
 
 def fingerprint(summed) -> tuple[Column, Column]:
-    """Two longs: bit b is set if the shingles whose hash has it outweigh the others; ``summed(name)`` is the sum of that name."""
+    """Two longs of 63 bits: each is set if the shingles whose hash has it outweigh the others; ``summed(name)`` is the sum of that name."""
     halves = []
     for half in range(2):
         out = None
-        for b in range(64 * half, 64 * half + 64):
-            has = F.shiftright(summed(_SUMS[b // 3]), FIELD * (b % 3)).bitwiseAND(F.lit((1 << FIELD) - 1)) * 2 > summed("qw")
-            bit = F.when(has, F.lit(1 << b % 64 if b % 64 < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-            out = bit if out is None else out.bitwiseOR(bit)
+        for k in range(FIELD):
+            # the tops of the three fields become the bits k, k + FIELD and k + 2 * FIELD
+            over = (summed(_SUMS[half * FIELD + k]) + summed("qt")).bitwiseAND(F.lit(_TOPS))
+            bits = F.shiftright(over, FIELD - 1 - k)
+            out = bits if out is None else out.bitwiseOR(bits)
         halves.append(out)
     return halves[0], halves[1]
 
 
+def threshold(weight: Column) -> Column:
+    """What, added to a long of sums, carries into the top of each field whose sum exceeds ``weight``: "qt"."""
+    return (F.lit((1 << FIELD - 1) - 1).cast("long") - weight) * F.lit(_ONES)
+
+
 def blocks(fp: tuple[Column, Column], near: int = 0) -> Column:
     """A fingerprint's blocks, and all values that differ from them in at most ``near`` bits: array of (k, v)."""
     def around(k: int, value: Column, size: int) -> Column:
@@ -133,7 +143,7 @@ def marked(items: DataFrame, heaviest: int) -> DataFrame:
     """item_id, len, item_set and the fingerprint f1, f2 of each item."""
     parts = items.select("item_id", "len", "item_set", F.xxhash64("shingles").alias("id"), F.explode("shingles").alias("x"))
     parts = parts.select("item_id", "len", "item_set", "id", *[c.alias(n) for n, c in packed(F.col("x.h"), F.col("x.w"), heaviest).items()])
-    sums = parts.groupBy("item_id", "len", "item_set", "id").agg(*[F.sum(n).alias(n) for n in (*_SUMS, "qw")])
+    sums = parts.groupBy("item_id", "len", "item_set", "id").agg(*[F.sum(n).alias(n) for n in (*_SUMS, "qw")]).withColumn("qt", threshold(F.col("qw")))
     f1, f2 = fingerprint(F.col)
     return sums.select("item_id", "len", "item_set", f1.alias("f1"), f2.alias("f2"))
 
@@ -192,29 +202,37 @@ def windows(cut: DataFrame, known: DataFrame, lengths: list[tuple[int, int, int]
     sums = rows.select("_r", "from", "i", *[F.sum(n).over(run).alias(n) for n in names])
     lists = sums.groupBy("_r", "from").agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("c"))
     none = F.struct(F.lit(-1).alias("i"), *[zero.alias(n) for n in names])
-    lists = lists.select("_r", F.col("from").alias("p"), F.concat(F.array(none), F.col("c")).alias("c")).join(cut.select("_r", F.col("from").alias("p"), "to", "at", "size"), ["_r", "p"])
+    lists = lists.select("_r", F.col("from").alias("p"), F.concat(F.array(none), F.col("c")).alias("c"))
+    lists = lists.withColumns({"cb": F.transform("c", lambda x: x["qb"]), "cn": F.transform("c", lambda x: x["qn"])}).join(cut.select("_r", F.col("from").alias("p"), "to", "at", "size"), ["_r", "p"])
     kinds = F.array(*[F.struct(F.lit(n).alias("len"), F.lit(room).alias("room"), F.lit(float(w)).alias("w")) for n, room, w in lengths])
 
+    def ends(kind: Column, s: Column) -> tuple[Column, Column]:
+        """Places in the running sums before a window's first and after its last shingle."""
+        return F.greatest(s, F.lit(0)) - F.col("at"), F.least(s + kind["room"], F.col("size")) - F.col("at")
+
     def taken(kind: Column) -> Column:
-        """The windows of one length that may reach ``least``, by their start."""
+        """The starts of windows of one length that may reach ``least``."""
         def enough(s: Column) -> Column:
-            a, b = F.greatest(s, F.lit(0)), F.least(s + kind["room"], F.col("size"))
-            sums = F.struct(F.get("c", a - F.col("at")).alias("d"), F.get("c", b - F.col("at")).alias("e"))
-            held = lambda x: let(x["e"]["qb"] - x["d"]["qb"], lambda both: (both >= kind["w"] * least - 1e-6) & ((1 - least) * both >= least * (x["e"]["qn"] - x["d"]["qn"]) - 1e-6))
+            a, b = ends(kind, s)
+            both, other = F.get("cb", b) - F.get("cb", a), F.get("cn", b) - F.get("cn", a)
             # a window that both ends of the text cut is the one that starts with the text
-            return (a < b) & ((s >= 0) | (s + kind["room"] < F.col("size"))) & let(sums, held)
+            return (both >= kind["w"] * least - 1e-6) & ((1 - least) * both >= least * other - 1e-6) & ((s >= 0) | (s + kind["room"] < F.col("size")))
 
         lo = F.greatest(F.col("p"), 1 - kind["room"])
-        return F.filter(F.sequence(lo, F.greatest(F.col("to"), lo)), enough)
+        return F.filter(F.sequence(lo, F.greatest(F.least(F.col("to"), F.col("size") - 1), lo)), enough)
 
     def fingerprinted(kind: Column) -> Column:
         def mark(s: Column) -> Column:
-            a, b = F.greatest(s, F.lit(0)), F.least(s + kind["room"], F.col("size"))
-            sums = F.struct(F.get("c", a - F.col("at")).alias("d"), F.get("c", b - F.col("at")).alias("e"))
+            a, b = ends(kind, s)
+            sums = F.struct(F.get("c", a).alias("d"), F.get("c", b).alias("e"))
 
             def both(x: Column) -> Column:
-                f1, f2 = fingerprint(lambda n: x["e"][n] - x["d"][n])
-                return F.struct(kind["len"].alias("len"), a.alias("a"), (b - 1).alias("b"), f1.alias("f1"), f2.alias("f2"))
+                weight = threshold(x["e"]["qw"] - x["d"]["qw"])
+                return let(F.struct(x["d"].alias("d"), x["e"].alias("e"), weight.alias("t")), halves)
+
+            def halves(x: Column) -> Column:
+                f1, f2 = fingerprint(lambda n: x["t"] if n == "qt" else x["e"][n] - x["d"][n])
+                return F.struct(kind["len"].alias("len"), (a + F.col("at")).alias("a"), (b + F.col("at") - 1).alias("b"), f1.alias("f1"), f2.alias("f2"))
 
             return let(sums, both)
 
@@ -237,7 +255,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, te
     if not lengths:
         return docs.select("doc_id").where("false").join(benchmark.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).cast("long").alias("n_windows"))
     reach = max(room for _, room, _ in lengths)
-    heaviest = ((1 << FIELD) - 1) // (PIECE + 2 * reach)  # no sum outgrows its field
+    heaviest = ((1 << FIELD - 2) - 1) // (PIECE + 2 * reach)  # no sum outgrows its field
     known = materialize(items.select(F.explode("item_set").alias("x")).select("x.*").dropDuplicates(["h"]))
     found = materialize(stretches(docs, known, reach, least * min(w for *_, w in lengths), text))
     cut = materialize(pieces(docs, found, reach, text))
