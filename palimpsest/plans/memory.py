@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import logs, retrieval, versions
 from ..sources.tables import CLAIMS, ORDER_BRANCHES, claims, objects, order_branches, table
-from .agents import _DERIVED, _edges, _tainted
+from .agents import ORACLE_SQL as AGENTS_SQL
+from .agents import _DERIVED, _edges, _tainted, retrieve_bm25, retrieve_vector_topk
 from .history import license_status
 from .history import ORACLE_SQL as HISTORY_SQL
 from .registry import registry
+from .states import _STORED, _scrubbed, gc_stats
+from .states import ORACLE_SQL as STATES_SQL
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -148,3 +154,55 @@ def observations(spark, sf_dir):
     seen = F.col("predicate").isin("view", "click")
     c = claims(spark, sf_dir).groupBy("subject").agg(F.count_if(seen).alias("observations"), F.count_if(~seen).alias("claims"), F.max(F.when(seen, F.col("id"))).alias("newest"))
     return c.where("observations > 0")
+
+
+@query(f"with {CLAIMS} select subject, predicate, count(distinct \"method\") > 1 refused, case when count(distinct \"method\") = 1 then sum(object::decimal(18, 4))::double / count(*) end confidence from claims group by 1, 2")
+def confidence_same_method(spark, sf_dir):
+    """Mean confidence by subject and predicate; refused where claims come from different methods."""
+    c = claims(spark, sf_dir).groupBy("subject", "predicate").agg(F.min("method").alias("lo"), F.max("method").alias("hi"), F.sum(F.col("object").cast("decimal(18,4)")).alias("s"), F.count("*").alias("n"))
+    one = F.col("lo") == F.col("hi")
+    return c.select("subject", "predicate", (~one).alias("refused"), F.when(one, F.col("s").cast("double") / F.col("n")).alias("confidence"))
+
+
+@query(f"select 'swept ' || swept || ', kept ' || retained report from ({STATES_SQL['gc_stats']})")
+def gc_report(spark, sf_dir):
+    return gc_stats(spark, sf_dir).select(F.format_string("swept %d, kept %d", "swept", "retained").alias("report"))
+
+
+@query(f"with {_STORED} select page_id, state in ('corrupt', 'missing') is_corruption, 'page ' || substr(page_id, 1, 12) || ' is ' || state report from st")
+def scrub_lines(spark, sf_dir):
+    """Every scrubbed page in a line to read, and whether its state is corruption."""
+    line = F.format_string("page %s is %s", F.substring("page_id", 1, 12), "state")
+    return _scrubbed(spark, sf_dir).select("page_id", F.col("state").isin("corrupt", "missing").alias("is_corruption"), line.alias("report"))
+
+
+_COMBINED = f"""with recursive {_DERIVED},
+v as ({AGENTS_SQL['retrieve_vector_topk']}), b as ({AGENTS_SQL['retrieve_bm25']}),
+newest as (select doc_id, row_number() over (order by doc_id desc) place from documents),
+candidates as (select query_id, vec_id doc_id, place from v union all select query_id, doc_id, place from b
+  union all select q.doc_id, newest.doc_id, place from documents q, newest where q.doc_id % 50 = 0 and place <= 10
+  union all select parent, child, 1 from edges where parent % 50 = 0),
+summed as (select query_id, doc_id, sum(1::double / (60 + place)) s from candidates where doc_id in (select doc_id from documents) group by 1, 2),
+scored as (select query_id, doc_id, s * case when doc_id in (select node from taint where distance > 0) then 0.5::double else 1 end * case when doc_id in (select doc_id from labels where quality = 0) then 0.5::double else 1 end s from summed),
+ranked as (select *, row_number() over (partition by query_id order by round(s, 9) desc, doc_id) place from scored)
+select query_id, doc_id, place, round(s, 6) score from ranked where place <= 10"""
+
+
+@query(_COMBINED)
+def retrieve_combined(spark, sf_dir):
+    """The ten best candidates for each 50th document, by reciprocal places in four lists: nearest vectors, BM25, the newest, what is derived from it. Stale and badly rated ones count for half."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    newest = d.orderBy(F.desc("doc_id")).limit(10).withColumn("place", F.row_number().over(Window.orderBy(F.desc("doc_id"))).cast("long"))
+    lists = [
+        retrieve_vector_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "place"),
+        retrieve_bm25(spark, sf_dir).select("query_id", "doc_id", "place"),
+        d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id")).join(F.broadcast(newest), F.lit(True)),
+        _edges(spark, sf_dir).where("parent % 50 = 0").select(F.col("parent").alias("query_id"), F.col("child").alias("doc_id"), F.lit(1).cast("long").alias("place")),
+    ]
+    summed = reduce(DataFrame.unionByName, lists).groupBy("query_id", "doc_id").agg(F.sum(1 / (60 + F.col("place"))).alias("s")).join(d, "doc_id", "left_semi")
+    stale = _tainted(spark, sf_dir).where("distance > 0").select(F.col("node").alias("doc_id"), F.lit(0.5).alias("stale"))
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("poor", F.lit(0.5))
+    scored = summed.join(stale, "doc_id", "left").join(poor, "doc_id", "left")
+    scored = scored.select("query_id", "doc_id", (F.col("s") * F.coalesce("stale", F.lit(1.0)) * F.coalesce("poor", F.lit(1.0))).alias("s"))
+    found = retrieval.best(scored, 10, "query_id", "s", "doc_id")
+    return found.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), F.round("s", 6).alias("score"))
