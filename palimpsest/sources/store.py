@@ -82,6 +82,14 @@ class VersionedTable:
         self._move("branch", branch, to)
         return old
 
+    def restore(self, name: str, branch: str, at_ms: int) -> str:
+        """A new branch at the newest state in another one's history that was made at ``at_ms`` or before; returns that state."""
+        past = self._read("manifests", MANIFESTS).where(F.col("created_at_ms") <= at_ms).select(F.col("manifest").alias("node"))
+        row = self.ancestors(self.head(branch)).join(past, "node").orderBy("distance").first()
+        found = row["node"] if row else ROOT
+        self.branch(name, found)
+        return found
+
     def delete_branch(self, name: str) -> None:
         self.head(name)
         self._move("branch", name, None)

@@ -68,6 +68,17 @@ def test_refs(spark, tmp_path):
     assert {r.name for r in store.refs().collect()} == {"main", "v1"}
 
 
+def test_restore_makes_a_branch(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path), "p")
+    store.branch("main")
+    made = [store.commit("main", spark.createDataFrame([(1, f"v{i}")], "page_no long, page_id string"), 10 * i) for i in range(1, 4)]
+    assert store.restore("then", "main", 25) == store.head("then") == made[1] and store.head("main") == made[2]
+    assert rows(store.as_of(store.head("then"))) == {1: "v2"}
+    assert store.restore("before", "main", 9) == ROOT
+    with pytest.raises(RefExists):
+        store.restore("then", "main", 30)
+
+
 def test_replica_moves_at_commits_only(spark, tmp_path):
     def write(n, recs):
         spark.createDataFrame([(n, lsn, no, pid, commit, False, False) for lsn, no, pid, commit in recs], replica.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
